@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, syncmers
+from barloom.llm import bpe, mixing, secret_scan, simhash, syncmers
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,25 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_probe(documents(spark, sf_dir))
 
 
+def byte_bpe_path() -> str:
+    """The public byte-level vocabulary, where its package keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir))
+
+
+def op3_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(documents(spark, sf_dir))
+
+
+def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), byte_bpe_path())
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixing.in_training_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "position_2"))
@@ -24,6 +43,9 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_simhash_classes": op3_simhash_classes,
+        "op4_trie_bpe": op4_trie_bpe,
         "op10_curriculum_mix": op10_curriculum_mix,
     }
 
