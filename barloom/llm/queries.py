@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, mixing, secret_scan, simhash, syncmers, toxicity
+from barloom.llm import bpe, media, mixing, quality, secret_scan, simhash, syncmers, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +35,18 @@ def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), byte_bpe_path())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.probe(documents(spark, sf_dir))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixing.in_training_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "position_2"))
@@ -50,7 +58,9 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op3_simhash_classes": op3_simhash_classes,
         "op4_trie_bpe": op4_trie_bpe,
+        "op5_quality": op5_quality,
         "op8_toxicity": op8_toxicity,
+        "op9_avi_media": op9_avi_media,
         "op10_curriculum_mix": op10_curriculum_mix,
     }
 
