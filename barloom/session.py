@@ -44,13 +44,24 @@ def ship_package(spark: SparkSession) -> None:
     sc._barloom_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
     Only a session that names none (tests, notebooks) gets a folder of its own.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if not getattr(sc, "_barloom_folder", None):
+        sc._barloom_folder = tempfile.mkdtemp(prefix="barloom-shared-")
+    return sc._barloom_folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
