@@ -81,7 +81,8 @@ def mix(
     Needs ``doc_id``, ``text`` and ``source``; other columns pass through, and those called
     like an added one are replaced. Adds ``size``, ``source_size``, ``target``, ``taken``
     (long: words taken, repeats counted, at most ``cap`` times the size, summing to the
-    rounded target in each source), ``copies`` (passes that take a part of it at least) and
+    rounded target in each source), ``copies`` (passes that take half of it at least: how
+    often a mix of whole texts has it) and
     ``position``, ``position_2`` (training time from 0 to 1 at which each pass meets it, null if not taken).
 
     Null text: size 0, taken 0. Null source: a source of its own, last. Null or repeated
@@ -118,7 +119,8 @@ def mix(
     passes = int(-(-cap // 1))
     placed = placed.withColumns({f"__p{i}": cut(F.col("__at") + i * F.col("source_size")) for i in range(passes)})
     taken = sum((F.col(f"__p{i}") for i in range(1, passes)), F.col("__p0"))
-    copies = sum(((F.col(f"__p{i}") > 0).cast("int") for i in range(1, passes)), (F.col("__p0") > 0).cast("int"))
+    whole = [((F.col(f"__p{i}") > 0) & (2 * F.col(f"__p{i}") >= F.col("size"))).cast("int") for i in range(passes)]
+    copies = sum(whole[1:], whole[0])
     second = position(F.col("__at") + F.col("source_size"), F.col("__p1")) if passes > 1 else F.lit(None).cast("double")
     return placed.select(
         *kept, "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), position(F.col("__at"), F.col("__p0")).alias("position"), second.alias("position_2")
@@ -128,3 +130,9 @@ def mix(
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Range-sort by position over the cluster; rows not taken come last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
+
+
+def mixed_rows(docs: DataFrame, **schedule) -> DataFrame:
+    """The mix itself in whole texts: each row as often as the mix takes it, with its columns, whatever their names."""
+    mixed = mix(docs.select("doc_id", "text", "source", F.struct("*").alias("__row")), **schedule)
+    return mixed.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).select("__row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, media, mixing, quality, secret_scan, simhash, syncmers, toxicity
+from barloom.llm import bpe, html_text, media, mixing, paragraphs, quality, secret_scan, simhash, syncmers, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(documents(spark, sf_dir))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -59,6 +68,8 @@ def queries() -> dict:
         "op3_simhash_classes": op3_simhash_classes,
         "op4_trie_bpe": op4_trie_bpe,
         "op5_quality": op5_quality,
+        "op6_paragraph_dedup": op6_paragraph_dedup,
+        "op7_html_text": op7_html_text,
         "op8_toxicity": op8_toxicity,
         "op9_avi_media": op9_avi_media,
         "op10_curriculum_mix": op10_curriculum_mix,

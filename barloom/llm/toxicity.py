@@ -123,3 +123,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     out = scored(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with their columns. Null texts stay."""
+    return scored(docs, train(docs, labels), "__score").where(F.col("__score") < THRESHOLD).drop("__score")
