@@ -79,8 +79,8 @@ def page(bars: DataFrame, to: Column | None = None, after: Column | None = None,
 
 def records(bars: DataFrame) -> DataFrame:
     """Rows as clients take them: time as text, numbers rounded to 6 digits."""
-    numbers = [c for c, kind in bars.dtypes if kind in ("double", "float")]
-    return bars.select("stream_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), *[F.round(c, 6).alias(c) for c in numbers])
+    numbers = [c for c in (*PRICES, "volume") if c in bars.columns]
+    return bars.select("stream_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), *[F.round(F.col(c).cast("double"), 6).alias(c) for c in numbers])
 
 
 def aligned(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:

@@ -35,13 +35,14 @@ FIELDS = {
     "features": "segment_idx long, first long, last long, high double, low double, fractal string, price double",
     "zhongshus": "zd double, zg double, seg_start long, seg_end long, seg_count long, settled boolean, break_seg long, break_direction string, gg double, dd double, first_s0 long, last_s1 long",
     "moves": _MOVE,
-    "centers": "seg0 long, seg1 long, low double, high double, kind string, confirmed boolean, sustain long, direction string, gg double, dd double, g double, d double, zg_dynamic double, zd_dynamic double, terminated boolean, termination_side string, development string",
+    "centers": "seg0 long, seg1 long, low double, high double, kind string, confirmed boolean, sustain long, direction string, gg double, dd double, g double, d double, zg_dynamic double, zd_dynamic double, terminated boolean, termination_side string, development string, i0 long, i1 long",
     "trends": "kind string, direction string, seg0 long, seg1 long, i0 long, i1 long, high double, low double, center_indices array<int>, confirmed boolean",
     "divergences": _DIVERGENCE,
     "divergences_v0": _DIVERGENCE,
     "points": "kind string, side string, level_id int, seg_idx long, move_seg_start long, center_zd double, center_zg double, center_seg_start long, price double, bar_idx long, confirmed boolean, settled boolean, overlaps_with string, div_center long, div_c_start long, div_c_end long",
     "liveness": "alive boolean, regime string, exit_idx long, exit_side string, exit_extreme double, pullback_seen boolean, pullback_settled boolean, reason string",
     "lstar": "center_idx long, regime string",
+    "lstar_v0": "center_idx long, regime string, low double, high double, exit_idx long, exit_side string, exit_extreme double, pullback_seen boolean, pullback_settled boolean",
     "nested": "chain string, bar_start long, bar_end long",
     "turns": "level_id int, side string, move_seg_start long, move_direction string, c_start long, c_end long, sub_c_end long",
 }
@@ -128,8 +129,8 @@ class Chain:
         return self._made["_old"]
 
     def centers(self):
-        for level, _, centers, _ in self._old():
-            yield from self._numbered(centers, level)
+        for level, parts, centers, _ in self._old():
+            yield from self._numbered([(*c, parts[c.seg0].i0, parts[c.seg1].i1) for c in centers], level)
 
     def trends(self):
         for level, _, _, trends in self._old():
@@ -165,6 +166,14 @@ class Chain:
         if found:
             yield found.level, 0, (found.center_idx, found.regime)
 
+    def lstar_v0(self):
+        views = [(level, parts, centers) for level, parts, centers, _ in self._old()]
+        found = sg.lstar(views, self.last_price)
+        if found:
+            parts, centers = next((p, c) for level, p, c in views if level == found.level)
+            c = centers[found.center_idx]
+            yield found.level, 0, (found.center_idx, found.regime, c.low, c.high, *sg.liveness(c, parts, self.last_price)[2:7])
+
     def nested(self):
         found = sg.nested_divergences(self.items("segments"), self.items("zhongshus", 1), self._moves1(), self._levels(), self.force)
         for i, n in enumerate(found):
