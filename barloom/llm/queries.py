@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, html_text, media, mixing, paragraphs, quality, secret_scan, simhash, syncmers, toxicity
+from barloom.llm import bpe, html_text, media, mixing, paragraphs, quality, secret_scan, simhash, sql, syncmers, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
