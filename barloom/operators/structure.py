@@ -172,18 +172,23 @@ def _beyond(x: Fractal, y: Fractal) -> bool:
     return x.price > y.price if x.kind == "top" else x.price < y.price
 
 
-def gap_rule(mode: str, min_sep: int = 5, raw_gaps: bool = True) -> Callable[[Fractal, Fractal], bool]:
-    """Whether two fractals stand far enough apart for a stroke.
+class GapRule(NamedTuple):
+    """Whether two fractals stand far enough apart for a stroke: in merged bars, and in raw bars strictly between them."""
 
-    wide: 4 merged bars; strict: ``min_sep``; new: 2 merged bars and 3 raw ones strictly
-    between, or as wide when raw positions are not to be used.
-    """
-    if mode == "new" and raw_gaps:
-        return lambda a, b: b.m_idx - a.m_idx >= 2 and b.raw_start - a.raw_end >= 4
+    merged: int
+    raw: int = -1
+
+    def __call__(self, a: Fractal, b: Fractal) -> bool:
+        return b.m_idx - a.m_idx >= self.merged and (self.raw < 0 or b.raw_start - a.raw_end - 1 >= self.raw)
+
+
+def gap_rule(mode: str, min_sep: int = 5, raw_gaps: bool = True) -> GapRule:
+    """wide: 4 merged bars; strict: ``min_sep``; new: 2 merged bars and 3 raw ones between, or as wide when raw positions are not to be used."""
     if mode not in ("wide", "new", "strict"):
         raise ValueError(f"unknown stroke mode {mode!r}")
-    least = min_sep if mode == "strict" else 4
-    return lambda a, b: b.m_idx - a.m_idx >= least
+    if mode == "new" and raw_gaps:
+        return GapRule(2, 3)
+    return GapRule(min_sep if mode == "strict" else 4)
 
 
 class StrokeFold:
