@@ -26,7 +26,7 @@ SAMPLE = 6000
 LEAST, MOST, BITS = 3, 6, 20
 #: Texts that must have a feature, and least absolute log-count ratio.
 SUPPORT, RATIO = 5, 1.2
-RIDGE, ROUNDS, RATE = 1e-3, 300, 0.5
+RIDGE, ROUNDS, RATE = 1e-4, 600, 0.5
 THRESHOLD = 0.5
 
 
