@@ -5,6 +5,8 @@ Sequential rules are recursive queries that step through positions, one row a st
 
 from __future__ import annotations
 
+from barloom.functions.streams import CATALOG
+
 _SECONDS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "1d": 86400}
 
 
@@ -255,6 +257,9 @@ def oracle_sql() -> dict[str, str]:
     sql |= {name: _none("'' AS stream_id, CAST(0 AS BIGINT) AS idx") for name in ("inclusion_residual", "stroke_check", "segment_check")}
     sql["fractal_check"] = _none("'' AS stream_id, CAST(0 AS BIGINT) AS m_idx")
     sql["center_check"] = _none("'' AS stream_id, CAST(1 AS INTEGER) AS level, CAST(0 AS BIGINT) AS idx")
+    known = ", ".join(f"('{symbol}', '{exchange}')" for symbol, _, exchange, _ in CATALOG)
+    sql["stream_names"] = f"""SELECT symbol, stream_id, substr(sha256(stream_id), 1, 12) AS stream_hash, '5m' AS tf FROM (SELECT s.symbol, coalesce(k.exchange, 'UNKNOWN') || ':' || upper(s.symbol) || '/1min@5m:L0/replay' AS stream_id
+      FROM (SELECT symbol FROM (VALUES {known}) v(symbol, exchange) UNION ALL SELECT n_name FROM nation) s LEFT JOIN (VALUES {known}) k(symbol, exchange) ON k.symbol = upper(s.symbol))"""
     sql["routed_events"] = """WITH hits AS (
         SELECT event_id, CAST(0 AS BIGINT) AS rule, 'desk' AS target, 'review' AS action, 1 AS rank FROM events WHERE event_type = 'purchase' AND CAST(user_id AS VARCHAR) LIKE '1%' AND floor(value) >= 100
         UNION ALL SELECT event_id, 1, 'ledger', 'book', 2 FROM events WHERE event_type = 'purchase'

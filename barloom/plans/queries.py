@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions import indicators
+from barloom.functions import indicators, streams
 from barloom.operators import bars as bar
-from barloom.operators import events, flows, invariants, overlay, routing, signals_df, structure_df
+from barloom.operators import bus, events, flows, invariants, overlay, routing, signals_df, structure_df
 from barloom.operators.layers import Settings, layer
 from barloom.sources.fixtures import brand_bars, event_bars, table, walk_bars
 
@@ -264,6 +264,25 @@ def daily_rank(s: SparkSession, d: str) -> DataFrame:
     return b.select("stream_id", "ts", move.alias("moved"), F.row_number().over(Window.partitionBy("ts").orderBy(move.desc(), "stream_id")).cast("long").alias("place")).where("place <= 2")
 
 
+def stream_names(s: SparkSession, d: str) -> DataFrame:
+    symbols = streams.catalog(s).select("symbol").unionByName(table(s, d, "nation").select(F.col("n_name").alias("symbol")))
+    return streams.named(symbols, "5m").withColumn("tf", streams.timeframe_of(F.col("stream_id")))
+
+
+def multi_tf_events(s: SparkSession, d: str) -> DataFrame:
+    log = bus.multi_tf_log(walk_bars(s, d, "15m"), ["15m", "1h", "4h"])
+    return log.groupBy("symbol", "tag", "event_type").agg(F.count("*").alias("n"), F.max("step").alias("last_step"))
+
+
+def drained_events(s: SparkSession, d: str) -> DataFrame:
+    return bus.drained(bus.multi_tf_log(walk_bars(s, d, "15m"), ["15m", "1h"]), 400, 600, "1h").select("stream_id", "step", "event_type", "event_id")
+
+
+def engine_metrics(s: SparkSession, d: str) -> DataFrame:
+    b = walk_bars(s, d)
+    return bus.metrics(b, events.event_log(b))
+
+
 MACD = Settings(macd=True)
 
 
@@ -274,7 +293,7 @@ def queries() -> dict[str, Query]:
         tail_n, range_page, client_records, upsert_keep_last, current_bars, catalog_search, regular_hours, brand_daily, daily_rank, spread_bars, ratio_bars, ratio_cv, as_of_start, as_of_close,
         macd_area, inclusion, fractals, fractals_dedup, segments_v0, zhongshu_over_v0, stroke_metrics, layer_counts, brand_strokes, user_stroke_counts, force_amplitude, force_macd,
         vertex_net_flow, resonance, cash_signal, conservation_check, flow_timeline, stroke_flows, pair_validation, ratio_structure,
-        event_counts, stroke_event_log, replay_seek, stream_fingerprints, invariant_violations, inclusion_residual, fractal_check, stroke_check, segment_check, center_check, routed_events, overlay_json,
+        event_counts, stroke_event_log, replay_seek, stream_fingerprints, invariant_violations, inclusion_residual, fractal_check, stroke_check, segment_check, center_check, routed_events, overlay_json, stream_names, multi_tf_events, drained_events, engine_metrics,
     ):
         out[f.__name__] = f
     out |= {
