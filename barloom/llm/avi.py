@@ -1,9 +1,9 @@
 """AVI files of motion-JPEG frames: RIFF structure, lossless JPEG intra frames, shots.
 
-Frames are lossless JPEG (ITU-T T.81, process 14, SOF3): 8-bit grey samples, each coded as
+Frames that are written here are lossless JPEG (ITU-T T.81, process 14, SOF3): 8-bit grey samples, each coded as
 its difference from the sample to the left (from the one above at the start of a line).
 Coding is vectorised over frames: all frames of a block are entropy-decoded in step, one
-sample of each at a time.
+sample of each at a time. Baseline frames of other writers are decoded to their luminance.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from barloom.llm.jpeg import luminance
+
 SIDE = 24
 SAMPLES = SIDE * SIDE
 FPS = 25
@@ -100,8 +102,11 @@ class Frame:
     data: bytes
 
 
-def parse_frame(jpeg: bytes) -> Frame:
-    """Read markers up to the scan. Only one-component 8-bit lossless frames with left prediction are supported; others raise ValueError."""
+def parse_frame(jpeg: bytes) -> Frame | bytes:
+    """Read markers up to the scan of a one-component 8-bit lossless frame with left prediction.
+
+    Baseline frames are returned as they are, for their luminance; other kinds raise ValueError.
+    """
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     at, size, table = 2, (0, 0), b""
@@ -115,6 +120,8 @@ def parse_frame(jpeg: bytes) -> Frame:
             if body[0] != 8 or body[5] != 1:
                 raise ValueError("not 8-bit grey")
             size = struct.unpack(">HH", body[1:5])
+        elif marker in (0xC0, 0xC1):
+            return jpeg
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not a lossless JPEG")
         elif marker == 0xC4:
@@ -140,11 +147,14 @@ def _lookup(table: bytes) -> np.ndarray:
     return out
 
 
-def decode_frames(frames: list[Frame]) -> list[np.ndarray]:
-    """Samples of each frame, in step over frames of one size and table."""
+def decode_frames(frames: list[Frame | bytes]) -> list[np.ndarray]:
+    """Samples of each frame; lossless ones in step over frames of one size and table, baseline ones by themselves."""
     out: list[np.ndarray | None] = [None] * len(frames)
     groups: dict[tuple, list[int]] = {}
     for i, f in enumerate(frames):
+        if isinstance(f, bytes):
+            out[i] = luminance(f)
+            continue
         groups.setdefault((f.height, f.width, f.table), []).append(i)
     for (height, width, table), members in groups.items():
         lookup = _lookup(table)

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from barloom.llm import avi, bpe, html_text, media, queries, secret_scan
+from barloom.llm import avi, bpe, html_text, jpeg, media, queries, secret_scan
 from barloom.llm.trigrams import trigram_query, trigrams_of
 from tests.llm.helpers import ODD, many, odd_docs, prose
 
@@ -115,11 +115,83 @@ def test_media_round_trip():
         assert b"".join(x.tobytes() for x in frames) == p and rate == 25
         cut = f.index(b"idx1")
         assert avi.read_avi(f[:4] + (cut - 8).to_bytes(4, "little") + f[8:cut]) == avi.read_avi(f)  # without the index
-    for broken in (b"", b"RIFF", files[0][:40], files[0].replace(b"\xff\xc3", b"\xff\xc0")):
+    for broken in (b"", b"RIFF", files[0][:40], files[0].replace(b"\xff\xc3", b"\xff\xc2")):
         with pytest.raises((ValueError, IndexError)):
             media.read_back([broken])
 
 
+def baseline(planes, sampling, restart=0, own_tables=True):
+    """A baseline JPEG of level-shifted float planes (components in MCU-padded size), all quantizers 2."""
+    basis = jpeg._BASIS
+    code_of = {k: {s: (n, c) for (n, c), s in jpeg.codes(*v).items()} for k, v in jpeg.STANDARD.items()}
+    h, w = planes[0].shape
+    across, down = max(s[0] for s in sampling), max(s[1] for s in sampling)
+    columns, rows = w // (8 * sampling[0][0]), h // (8 * sampling[0][1])
+    out, scan, before = [], "", [0] * len(planes)
+
+    def number(v):
+        n = abs(int(v)).bit_length()
+        return n, format(int(v) if v > 0 else int(v) + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def put(table, symbol):
+        n, c = code_of[table][symbol]
+        return format(c, f"0{n}b")
+
+    def closed(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    for m in range(rows * columns):
+        if restart and m and m % restart == 0:
+            out += [closed(scan), bytes([0xFF, 0xD0 + (m // restart - 1) % 8])]
+            scan, before = "", [0] * len(planes)
+        for i, (p, (sh, sv)) in enumerate(zip(planes, sampling)):
+            for k in range(sh * sv):
+                y, x = (m // columns * sv + k // sh) * 8, (m % columns * sh + k % sh) * 8
+                q = np.rint((basis @ p[y : y + 8, x : x + 8] @ basis.T) / 2).ravel()[jpeg.ZIGZAG]
+                t = min(i, 1)
+                n, bits = number(q[0] - before[i])
+                before[i] = q[0]
+                scan += put((0, t), n) + bits
+                run = 0
+                last = max([j for j in range(64) if q[j] and j], default=0)
+                for j in range(1, last + 1):
+                    if q[j] == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        scan += put((1, t), 0xF0)
+                        run -= 16
+                    n, bits = number(q[j])
+                    scan += put((1, t), run << 4 | n) + bits
+                    run = 0
+                if last < 63:
+                    scan += put((1, t), 0)
+    out.append(closed(scan))
+    seg = avi._segment
+    head = b"\xff\xd8" + seg(0xDB, bytes([0] + [2] * 64)) + seg(0xC0, bytes([8, *h.to_bytes(2, "big"), *w.to_bytes(2, "big"), len(planes)]) + b"".join(bytes([i + 1, s[0] << 4 | s[1], 0]) for i, s in enumerate(sampling)))
+    if own_tables:
+        head += b"".join(seg(0xC4, bytes([a << 4 | b, *n, *s])) for (a, b), (n, s) in jpeg.STANDARD.items())
+    if restart:
+        head += seg(0xDD, restart.to_bytes(2, "big"))
+    head += seg(0xDA, bytes([len(planes)]) + b"".join(bytes([i + 1, min(i, 1) * 17]) for i in range(len(planes))) + bytes([0, 63, 0]))
+    assert across >= 1 <= down
+    return head + b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("sampling", "restart", "own"), [([(1, 1)], 0, True), ([(1, 1)], 2, False), ([(2, 2), (1, 1), (1, 1)], 0, False), ([(2, 1), (1, 1), (1, 1)], 1, True)])
+def test_baseline_frames(sampling, restart, own):
+    assert sorted(jpeg.ZIGZAG) == list(range(64)) and jpeg.ZIGZAG[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]
+    rng = np.random.default_rng(3)
+    image = np.clip(np.cumsum(rng.normal(0, 9, (32, 48)), axis=1) + 128, 0, 255)
+    planes = [image - 128] + [rng.normal(0, 20, (32 // sampling[0][1], 48 // sampling[0][0])) for _ in sampling[1:]]
+    data = baseline(planes, sampling, restart, own)
+    (rate, frames) = media.read_back([avi.write_avi([data, data])])[0]
+    assert rate == 25 and len(frames) == 2 and np.abs(frames[1].astype(float) - image).max() <= 5
+    with pytest.raises(ValueError, match="ends early|Huffman|markers"):
+        jpeg.luminance(data[: len(data) // 2])
+
+
 def test_shots_follow_the_threshold():
     calm = np.tile(np.array([100, 300, 100, 76]), (10, 1))
     jump = np.tile(np.array([400, 76, 50, 50]), (5, 1))
