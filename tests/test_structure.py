@@ -176,3 +176,83 @@ def test_event_ids_are_canonical():
     assert ev.event_id(1, 2.0, "x", 3, {"b": 1, "a": 2.5}) == ev.event_id(1, 2.0, "x", 3, {"a": 2.5, "b": 1})
     assert len(ev.stream_fingerprint(["a", "b"])) == 32 and ev.envelope_id("a", "s", ("q", "p")) == ev.envelope_id("a", "s", ("p", "q"))
     assert 0 <= ev.point_id((1, "type1", "buy", 1)) < 1 << 31
+
+
+def move(kind, d, a, b, zs=(0, 0), settled=True, high=0.0, low=0.0):
+    return st.Move(kind, d, a, b, *zs, zs[1] - zs[0] + 1, settled, high, low, a, b)
+
+
+def test_nested_chain_maps_parts_to_bars():
+    segs = [Part(0, 10, "up" if i % 2 == 0 else "down", i) for i in range(12)]
+    ranges = [(5, 25, "down"), (0, 40, "up"), (8, 22, "down"), (12, 30, "up"), (10, 20, "down")]
+    parts = [move("consolidation", d, 2 * k, 2 * k + 1, high=hi, low=lo) for k, (lo, hi, d) in enumerate(ranges)]
+    center = st.Zhongshu(10, 20, 0, 2, 3, True, 3, "up", 40, 0, 0, 2)
+    made = [move("consolidation", "up", 0, 3, settled=False)]
+    below = [*parts, move("consolidation", "up", 10, 11, settled=False)]
+    (got,) = sg.nested_divergences(segs, [], below, [(2, parts, [center], made)])
+    assert [lv for lv, _ in got.chain] == [2] and (got.bar_start, got.bar_end) == (segs[6].i0, segs[7].i1)
+    d = got.chain[0][1]
+    assert (d.kind, d.direction, d.seg_a_start, d.seg_c_start, d.force_a, d.force_c, d.confirmed) == ("consolidation", "top", 1, 3, 40, 18, False)
+
+
+def test_ranges_hold_only_whole_moves():
+    segs = [Part(lo, hi, d, i) for i, (lo, hi, d) in enumerate([(0, 30, "up"), (10, 30, "down"), (10, 28, "up"), (9, 28, "down"), (9, 20, "up"), (5, 8, "down")])]
+    center = st.Zhongshu(10, 20, 0, 2, 3, True, 5, "down", 30, 0, 0, 2)
+    m = [move("consolidation", "down", 0, 4)]
+    whole = sg.divergences(segs, [center], m, 1)
+    assert [(d.direction, d.seg_a_start, d.seg_c_start) for d in whole] == [("top", 2, 4)]
+    assert sg.divergences_within(segs, [center], m, 1, (0, 25)) == whole
+    assert sg.divergences_within(segs, [center], m, 1, (1, 25)) == sg.divergences_within(segs, [center], m, 1, (25, 0)) == []
+
+
+def test_macd_peaks_make_a_divergence_that_area_does_not():
+    import numpy as np
+
+    segs = [Part(0, 30, "up", 0), Part(10, 30, "down", 1), Part(10, 28, "up", 2), Part(9, 29, "up", 3)]
+    for i, s in enumerate(segs):
+        s.i0, s.i1 = i, i
+    center = st.Zhongshu(10, 20, 0, 1, 2, True, 2, "up", 30, 0, 0, 1)
+    m = [move("consolidation", "up", 0, 3)]
+    raw = [(0, 1), (2, 3), (4, 5), (6, 7)]
+    hist = np.array([0, 0, 0, 0, 5.0, 1.0, 4.0, 4.0])
+    force = sg.Momentum(np.zeros(8), hist, raw)
+    (d,) = sg.divergences(segs, [center], m, 1, force)
+    assert (d.force_a, d.force_c, d.hist_peak_a, d.hist_peak_c) == (6.0, 8.0, 5.0, 4.0)
+    assert sg.peak(hist, 5, 99, "up") == 0.0 and sg.macd_area(hist, -5, 99)["n_bars"] == 8 and sg.macd_area(hist, 7, 3)["area_pos"] == 0
+
+
+def test_small_to_big_needs_a_turn_below():
+    segs = [Part(0, 10, "up" if i % 2 == 0 else "down", i) for i in range(10)]
+    cs = [st.Zhongshu(1, 2, 0, 2, 3, True, 3, "up", 3, 0, 0, 2), st.Zhongshu(5, 6, 3, 5, 3, True, 6, "up", 8, 4, 3, 5)]
+    trend = move("trend", "up", 0, 9, (0, 1), settled=False)
+    sub = sg.Divergence("trend", "top", 0, 0, 1, 6, 8, 0, 2.0, 1.0, True)
+    (turn,) = sg.small_to_big(segs, cs, [trend], [], [sub], 1)
+    assert (turn.side, turn.c_start, turn.c_end, turn.sub_c_end) == ("sell", 6, 9, 8)
+    assert sg.small_to_big(segs, cs, [trend], [sub], [sub], 1) == [] == sg.small_to_big(segs, cs, [trend._replace(settled=True)], [], [sub], 1)
+    assert sg.small_to_big(segs, cs, [trend], [], [sub._replace(seg_c_end=3)], 1) == []
+
+
+def test_points_two_and_three_can_fall_together():
+    segs = [Part(lo, hi, d, i) for i, (lo, hi, d) in enumerate([(50, 60, "down"), (50, 58, "up"), (48, 57, "down"), (20, 30, "down"), (20, 70, "up"), (61, 70, "down"), (61, 80, "up")])]
+    z = st.Zhongshu(50, 57, 0, 2, 3, True, 4, "up", 60, 48, 0, 2)
+    m = [move("trend", "down", 0, 3, (0, 0))]
+    d = sg.Divergence("trend", "bottom", 1, 0, 1, 3, 3, 0, 2.0, 1.0, True)
+    got = sg.points(segs, [z], m, [d], 1)
+    assert [(p.kind, p.side, p.seg_idx, p.overlaps_with) for p in got] == [("type1", "buy", 3, None), ("type2", "buy", 5, "type3"), ("type3", "buy", 5, "type2")]
+    assert got[0].price == 20 and got[1].price == 61 and got[0].confirmed and not got[1].confirmed
+
+
+def test_points_change_by_key():
+    p = sg.Point("type3", "buy", 1, 5, 0, 1.0, 2.0, 0, 10.0, 30, False)
+    kinds = lambda a, b: [k for k, _ in ev.point_changes(a, b)]
+    assert kinds([], [p]) == ["bsp_candidate"] and kinds([], [p._replace(confirmed=True)]) == ["bsp_candidate", "bsp_confirm"]
+    assert kinds([p], [p._replace(confirmed=True, price=11.0)]) == ["bsp_confirm"] and kinds([p], [p._replace(price=11.0)]) == ["bsp_candidate"]
+    assert kinds([p], []) == ["bsp_invalidate"] and kinds([p], [p]) == []
+
+
+def test_centers_change_by_identity():
+    z = st.Zhongshu(1.0, 2.0, 0, 2, 3, False, -1, "", 3.0, 0.0, 0, 2)
+    kinds = lambda a, b: [k for k, _ in ev.CENTERS.changes(a, b)]
+    assert kinds([], [z]) == ["zhongshu_candidate"] and kinds([z], [z._replace(seg_end=3)]) == ["zhongshu_candidate"]
+    assert kinds([z], [z._replace(settled=True, seg_end=4, break_seg=5)]) == ["zhongshu_settle"]
+    assert kinds([z], [z._replace(zd=1.5)]) == ["zhongshu_invalidate", "zhongshu_candidate"] and kinds([z], []) == ["zhongshu_invalidate"]
