@@ -15,12 +15,9 @@ The vocabulary file is a parameter; it is read where it is used and never copied
 from __future__ import annotations
 
 import json
-import re
-import sys
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
-from os.path import commonprefix
 
 import pandas as pd
 import regex
@@ -43,8 +40,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: White space that touches white space.
-_TOUCHING = re.compile(r"\s\s|^\s|\s$")
+Piece = str | tuple[str] | int
 
 
 class TrieBpe:
@@ -72,10 +68,14 @@ class TrieBpe:
             self.merge.setdefault(key, (rank, made))
             self.parts.setdefault(made, (rank, *key))
         self.longest = max(map(len, self.of_bytes))
+        self.apart: dict[tuple[int, int], bool] = {}
         # suffix search: bytes of a token read backwards lead from node to node
         self.back: list[dict[int, int]] = [{}]
         self.back_id: list[int] = [-1]
+        usable = {i for i, (rank, a, b) in self.parts.items() if self.seam(a, b, rank)}
         for text, i in self.of_bytes.items():
+            if i in self.parts and i not in usable:
+                continue
             at = 0
             for b in reversed(text):
                 nxt = self.back[at].get(b)
@@ -85,47 +85,49 @@ class TrieBpe:
                     self.back_id.append(-1)
                 at = nxt
             self.back_id[at] = i
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.alone_known: dict[int, bool] = {}
         self.lengths = {i: len(t) for i, t in self.bytes_of.items()}
         split = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"  # fixed value: the public pre-tokenizer pattern
         self.words = regex.compile(split).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ids_of: dict[str | int, tuple[int, ...]] = {}
-        self.older: dict[str | int, tuple[int, ...]] = {}
+        self.ids_of: dict[Piece, tuple[int, ...]] = {}
+        self.older: dict[Piece, tuple[int, ...]] = {}
         self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
 
-    def stays_apart(self, left: int, right: int) -> bool:
-        """Whether merging by rank ends with exactly these two tokens.
+    def seam(self, left: int, right: int, own: int | None = None) -> bool:
+        """Whether merging by rank comes to exactly these two tokens.
 
         Undo merges along the seam, latest first. Whenever two pieces that touch at the seam
         have a merge of their own, it must come too late: not before the merge that consumed
-        one of them (equal ranks go to the leftmost, which is the left side's).
+        one of them (equal ranks go to the leftmost, which is the left side's). With ``own``
+        the two tokens' own merge, of that rank, is allowed: then the answer is whether their
+        union is ever made this way.
         """
-        if len(self.apart) > MAX_WORDS * 4:
-            self.apart.clear()
         a, b, merge, parts = left, right, self.merge, self.parts
-        limit, left_made_it = 1 << 60, False
-        ok = True
+        limit, from_left = (1 << 60 if own is None else own), False
+        met = merge.get((a, b)) if own is None else None
         while True:
-            met = merge.get((a, b))
-            if met is not None and (met[0] < limit or (met[0] == limit and not left_made_it)):
-                ok = False
-                break
+            if met is not None and (met[0] < limit or (met[0] == limit and not from_left)):
+                return False
             pa, pb = parts.get(a), parts.get(b)
             if pa is None and pb is None:
-                break
+                return True
             # the later merge is undone first; of equal ranks the right side's came later
             if pb is None or (pa is not None and pa[0] > pb[0]):
-                limit, left_made_it, a = pa[0], True, pa[2]
+                limit, from_left, a = pa[0], True, pa[2]
             else:
-                limit, left_made_it, b = pb[0], False, pb[1]
-        self.apart[(left, right)] = ok
+                limit, from_left, b = pb[0], False, pb[1]
+            met = merge.get((a, b))
+
+    def stays_apart(self, pair: tuple[int, int]) -> bool:
+        """Whether two tokens can stand side by side in an encoding."""
+        if len(self.apart) > 2 * MAX_WORDS:
+            self.apart.clear()
+        ok = self.apart[pair] = self.seam(*pair)
         return ok
 
     def last_token(self, word: bytes, depth: int, last: list[int]) -> int:
         """Last token of the prefix of ``depth`` bytes; ``last`` has those of the shorter prefixes."""
-        back, back_id, alone, apart = self.back, self.back_id, self.alone_known, self.apart
+        back, back_id, apart = self.back, self.back_id, self.apart
         node, i = 0, depth
         while i:
             i -= 1
@@ -133,13 +135,13 @@ class TrieBpe:
             if node < 0:
                 break
             token = back_id[node]
-            if token < 0 or not (alone[token] if token in alone else self.alone(token)):
-                continue
-            if i == 0:
-                return token
-            pair = (last[i], token)
-            if apart[pair] if pair in apart else self.stays_apart(*pair):
-                return token
+            if token >= 0:
+                if i == 0:
+                    return token
+                pair = (last[i], token)
+                ok = apart.get(pair)
+                if self.stays_apart(pair) if ok is None else ok:
+                    return token
         raise ValueError("vocabulary lacks a byte")
 
     def walk(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
@@ -151,12 +153,16 @@ class TrieBpe:
         """
         last: list[int] = [-1]
         before = b""
-        lengths = self.lengths
+        lengths, last_token = self.lengths, self.last_token
         for word in words:
-            same = len(commonprefix((before, word)))
+            same = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                same += 1
             del last[same + 1 :]
             for depth in range(same + 1, len(word) + 1):
-                last.append(self.last_token(word, depth, last))
+                last.append(last_token(word, depth, last))
             before = word
             ids, depth = [], len(word)
             while depth:
@@ -165,41 +171,25 @@ class TrieBpe:
                 depth -= lengths[token]
             yield tuple(reversed(ids))
 
-    def alone(self, token: int) -> bool:
-        """Whether merging a token's own bytes gives the token, as it must to be an output."""
-        known = self.alone_known.get(token)
-        if known is None:
-            part = self.parts.get(token)
-            known = self.alone_known[token] = part is None or (self.alone(part[1]) and self.alone(part[2]) and self._reaches(token))
-        return known
-
-    def _reaches(self, token: int) -> bool:
-        """Merge the token's bytes by rank, plainly."""
-        ids = [self.of_bytes[bytes([b])] for b in self.bytes_of[token]]
-        while len(ids) > 1:
-            best = min(((self.merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merge), default=None)
-            if best is None:
-                return False
-            i = best[1]
-            ids[i : i + 2] = [self.merge[ids[i], ids[i + 1]][1]]
-        return ids == [token]
-
-    def chunks(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> list[Piece]:
         """Cut a text where no pre-token can cross: before a space between two other characters.
 
         Such a space starts the pre-token after it. Texts in which white space touches white
         space are cut into pre-tokens instead. Either way the ids of the parts, joined, are the text's.
         """
-        if _TOUCHING.search(text):
-            return self.words(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+        if len(" ".join(text.split())) != len(text):
+            return [(w,) for w in self.words(text)]
+        out: list[Piece] = text.split(" ")
+        out[0] = (out[0],)
+        return out
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Chunks of a text in order; special tokens come as their ids."""
+    def pieces(self, text: str) -> list[Piece]:
+        """Parts of a text in order. A string stands for itself after a space, a tuple for its string, a number for a special token."""
+        if not text:
+            return []
         if self.specials is None or not any(s in text for s in self.special):
             return self.chunks(text)
-        out: list[str | int] = []
+        out: list[Piece] = []
         for i, part in enumerate(self.specials.split(text)):
             if i % 2:
                 out.append(self.special[part])
@@ -207,21 +197,21 @@ class TrieBpe:
                 out.extend(self.chunks(part))
         return out
 
-    def known(self, pieces: list[list[str | int]]) -> dict[str | int, tuple[int, ...]]:
+    def known(self, pieces: list[list[Piece]]) -> dict[Piece, tuple[int, ...]]:
         """Ids of every piece of a block. Pieces met before are looked up, the others walked."""
         if len(self.ids_of) > MAX_WORDS:
             self.ids_of, self.older = {}, self.ids_of
         ids_of, older = self.ids_of, self.older
         new = set().union(*pieces)
         new.difference_update(ids_of.keys())
-        cut: dict[str | int, list[str]] = {}
+        cut: dict[Piece, list[str]] = {}
         for p in new:
             if p in older:
                 ids_of[p] = older[p]
             elif isinstance(p, int):
                 ids_of[p] = (p,)
             else:
-                cut[p] = self.words(p)
+                cut[p] = self.words(" " + p if isinstance(p, str) else p[0])
         words = {w.encode("utf-8", "surrogatepass"): w for found in cut.values() for w in found}
         order = sorted(words)
         walked = {words[raw]: ids for raw, ids in zip(order, self.walk(order))}
@@ -240,12 +230,14 @@ class TrieBpe:
         return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
 
 
+_ENCODERS: dict[str, TrieBpe] = {}
+
+
 def encoder(path: str) -> TrieBpe:
     """The worker's encoder of a vocabulary file, kept for later blocks."""
-    kept = sys.modules["json"].__dict__.setdefault("_barloom_encoders", {})
-    if path not in kept:
-        kept[path] = TrieBpe(path)
-    return kept[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TrieBpe(path)
+    return _ENCODERS[path]
 
 
 #: Code points whose words are learnt together.
