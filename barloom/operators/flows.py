@@ -98,21 +98,23 @@ def flow_timeline(events: DataFrame, order: list[str]) -> DataFrame:
     return state.select(*order, F.explode(F.array(*nets)).alias("v")).select(*order, "v.*").withColumn("strength", _strength(F.col("net")))
 
 
-def cash_signal(states: DataFrame, keys: list[str]) -> DataFrame:
-    """What a net flow of cash means, by how unevenly the other classes move.
+def cash_signal(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """What a net flow of cash means, by how the edges between the other classes point.
 
-    Returns keys, cash_net, variance (population, of the other three), signal and confidence:
-    neutral when cash is flat; a shift of the measure when the others move alike; a genuine
-    flow when their variance is over half its largest (8/9); else mixed.
+    Six edges a group, as in vertex_flows. Returns keys, cash_net, variance (population, of the
+    directions of the three edges without cash as +1, -1 and 0 as they are given; 0 when cash
+    is flat), signal and confidence: neutral when cash is flat; a shift of the measure when the
+    edges agree; a genuine flow when their variance is over half its largest (8/9); else mixed.
     """
-    other = F.when(F.col("vertex") != "CASH", F.col("net"))
-    by = states.groupBy(*keys).agg(F.max(F.when(F.col("vertex") == "CASH", F.col("net"))).alias("cash_net"), F.var_pop(other).alias("variance"))
-    share = F.col("variance") / F.lit(8.0 / 9.0)
-    flat, alike = F.col("cash_net") == 0, F.col("variance") == 0
-    return by.select(
-        *keys, "cash_net", "variance",
+    states = vertex_flows(edges, keys)
+    cash = states.where("vertex = 'CASH'").select(*keys, F.col("net").alias("cash_net"))
+    asset = edges.where("vertex_a <> 'CASH' and vertex_b <> 'CASH'").groupBy(*keys).agg(F.var_pop(-_sign(F.col("direction"))).alias("v"))
+    share = F.least(F.col("v") / F.lit(8.0 / 9.0), F.lit(1.0))
+    flat, alike = F.col("cash_net") == 0, F.col("v") == 0
+    return cash.join(asset, keys).select(
+        *keys, "cash_net", F.when(flat, 0.0).otherwise(F.col("v")).alias("variance"),
         F.when(flat, "neutral").when(alike, "metric_shift").when(share > 0.5, "genuine_flow").otherwise("mixed").alias("signal"),
-        F.when(flat | alike, 1.0).when(share > 0.5, F.least(share, F.lit(1.0))).otherwise(0.5).alias("confidence"),
+        F.when(flat | alike, 1.0).when(share > 0.5, share).otherwise(0.5).alias("confidence"),
     )
 
 
@@ -145,7 +147,9 @@ def validate_pairs(
     early = F.when(F.col("nought") == 1, "zero price in b").when(F.col("n_bars") < min_overlap, "insufficient overlap").when(F.col("cv") < cv, "degenerate ratio")
     base = base.withColumn("early", early).withColumn("open", F.col("early").isNull() & (F.col("n_bars") >= MIN_BARS))
     ratios = pair_ratios(paired.join(base.where("open").select("pair_id"), "pair_id", "left_semi"))
-    strokes = layer(ratios, "strokes", settings).where("p0 <> 0").groupBy("stream_id").agg(F.count("*").alias("n_strokes"), F.avg(F.abs(F.col("p1") / F.col("p0") - 1)).alias("stroke_mean"))
+    strokes = layer(ratios, "strokes", settings).groupBy("stream_id").agg(
+        F.count("*").alias("n_strokes"), F.coalesce(F.avg(F.abs(F.try_divide("p1", "p0") - 1)), F.lit(0.0)).alias("stroke_mean")
+    )
     hist = macd(ratios).groupBy("stream_id").agg(F.avg(F.abs("hist")).alias("h"))
     both = base.join(strokes.withColumnRenamed("stream_id", "pair_id"), "pair_id", "left").join(hist.withColumnRenamed("stream_id", "pair_id"), "pair_id", "left")
     both = both.withColumn("n_strokes", F.when(F.col("open"), F.coalesce("n_strokes", F.lit(0)))).withColumn("macd_norm", F.try_divide(F.col("h"), F.col("mean")))
@@ -157,9 +161,14 @@ def validate_pairs(
     )
 
 
-def ratio_structure(paired: DataFrame, settings: Settings = Settings(raw_gaps=False)) -> DataFrame:
+def zero_streams(bars: DataFrame) -> DataFrame:
+    """Streams that open or close at 0 anywhere: nothing can be divided by them."""
+    return bars.where("open = 0 or close = 0").select("stream_id").distinct()
+
+
+def ratio_structure(paired: DataFrame, zero: DataFrame | None = None, settings: Settings = Settings(raw_gaps=False)) -> DataFrame:
     """Validation and, for valid pairs, the number of strokes and segments of the ratio; invalid ones carry their reason."""
-    checked = validate_pairs(paired, settings=settings)
+    checked = validate_pairs(paired, zero, settings=settings)
     ratios = pair_ratios(paired.join(checked.where("valid").select("pair_id"), "pair_id", "left_semi"))
     segments = layer(ratios, "segments", settings).groupBy(F.col("stream_id").alias("pair_id")).agg(F.count("*").alias("n_segments"))
     return checked.join(segments, "pair_id", "left").select("pair_id", "valid", F.col("reason").alias("error"), "n_bars", "n_strokes", F.when(F.col("valid"), F.coalesce("n_segments", F.lit(0))).alias("n_segments"))
@@ -185,5 +194,5 @@ def edge_directions(bars: DataFrame, of_class: dict[str, str]) -> DataFrame:
 
 
 __all__ = [
-    "VERTICES", "cash_signal", "edge_directions", "flow_timeline", "imbalance", "matrix", "pair_ratios", "ratio_structure", "resonance", "stroke_flows", "validate_pairs", "vertex_flows",
+    "VERTICES", "cash_signal", "edge_directions", "flow_timeline", "imbalance", "matrix", "pair_ratios", "ratio_structure", "resonance", "stroke_flows", "validate_pairs", "vertex_flows", "zero_streams",
 ]

@@ -249,9 +249,10 @@ def oracle_sql() -> dict[str, str]:
     sql["vertex_net_flow"] = f"{flows} {_FLOWS}"
     sql["resonance"] = f"{flows} SELECT * FROM ({_FLOWS}) WHERE strength <> 'none'"
     sql["conservation_check"] = f"{flows} SELECT ts, CAST(sum(net) AS BIGINT) AS total FROM nets GROUP BY ts HAVING sum(net) <> 0"
-    sql["cash_signal"] = f"""{flows} SELECT ts, cash_net, round(variance, 9) AS variance, CASE WHEN cash_net = 0 THEN 'neutral' WHEN variance = 0 THEN 'metric_shift' WHEN variance / (8.0 / 9.0) > 0.5 THEN 'genuine_flow' ELSE 'mixed' END AS signal,
-      CAST(round(CASE WHEN cash_net = 0 OR variance = 0 THEN 1.0 WHEN variance / (8.0 / 9.0) > 0.5 THEN least(variance / (8.0 / 9.0), 1.0) ELSE 0.5 END, 9) AS DOUBLE) AS confidence
-      FROM (SELECT ts, max(net) FILTER (vertex = 'CASH') AS cash_net, var_pop(net) FILTER (vertex <> 'CASH') AS variance FROM nets GROUP BY ts)"""
+    sql["cash_signal"] = f"""{flows} SELECT ts, cash_net, round(CASE WHEN cash_net = 0 THEN 0 ELSE v END, 9) AS variance,
+      CASE WHEN cash_net = 0 THEN 'neutral' WHEN v = 0 THEN 'metric_shift' WHEN v / (8.0 / 9.0) > 0.5 THEN 'genuine_flow' ELSE 'mixed' END AS signal,
+      CAST(round(CASE WHEN cash_net = 0 OR v = 0 THEN 1.0 WHEN v / (8.0 / 9.0) > 0.5 THEN least(v / (8.0 / 9.0), 1.0) ELSE 0.5 END, 9) AS DOUBLE) AS confidence
+      FROM (SELECT ts, net AS cash_net FROM nets WHERE vertex = 'CASH') JOIN (SELECT ts, var_pop(-s) AS v FROM edges WHERE vertex_a <> 'CASH' AND vertex_b <> 'CASH' GROUP BY ts) USING (ts)"""
     sql["flow_timeline"] = _timeline()
     sql["invariant_violations"] = _none("'' AS stream_id, '' AS code, CAST(0 AS BIGINT) AS bar_idx, CAST(0 AS BIGINT) AS seq, '' AS event_type, '' AS reason")
     sql |= {name: _none("'' AS stream_id, CAST(0 AS BIGINT) AS idx") for name in ("inclusion_residual", "stroke_check", "segment_check")}

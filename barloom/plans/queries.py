@@ -157,7 +157,7 @@ def resonance(s: SparkSession, d: str) -> DataFrame:
 
 
 def cash_signal(s: SparkSession, d: str) -> DataFrame:
-    out = flows.cash_signal(vertex_net_flow(s, d), ["ts"])
+    out = flows.cash_signal(_edges(s, d), ["ts"])
     return out.select("ts", "cash_net", F.round("variance", 9).alias("variance"), "signal", F.round("confidence", 9).alias("confidence"))
 
 
@@ -175,12 +175,14 @@ def stroke_flows(s: SparkSession, d: str) -> DataFrame:
 
 
 def pair_validation(s: SparkSession, d: str) -> DataFrame:
-    out = flows.validate_pairs(bar.pairs(walk_bars(s, d)))
+    b = walk_bars(s, d)
+    out = flows.validate_pairs(bar.pairs(b), flows.zero_streams(b))
     return out.select("pair_id", "valid", "reason", "n_bars", F.round("cv", 9).alias("cv"), "n_strokes", F.round("stroke_mean", 9).alias("stroke_mean"), F.round("macd_norm", 9).alias("macd_norm"))
 
 
 def ratio_structure(s: SparkSession, d: str) -> DataFrame:
-    return flows.ratio_structure(bar.pairs(walk_bars(s, d)))
+    b = walk_bars(s, d)
+    return flows.ratio_structure(bar.pairs(b), flows.zero_streams(b))
 
 
 def event_counts(s: SparkSession, d: str) -> DataFrame:

@@ -164,3 +164,15 @@ def test_pair_validation_reasons(spark):
     few = b.where("stream_id = 'b' and ts < '2024-01-01 00:20:00'").withColumn("stream_id", F.lit("few"))
     got = {r.pair_id: (r.valid, r.reason) for r in flows.validate_pairs(bar.pairs(b.unionByName(flat).unionByName(zero).unionByName(few)), cv=1e-6, stroke=1e-6, dynamics=1e-9).collect()}
     assert got["a/flat"] == (False, "degenerate ratio") and got["a/zero"] == (False, "zero price in b") and got["a/few"] == (False, "insufficient overlap") and got["a/b"][0]
+
+
+def test_cash_signal_by_hand(spark):
+    def case(k, cash, asset):
+        names = [(a, b) for i, a in enumerate(flows.VERTICES) for b in flows.VERTICES[i + 1 :]]
+        it, ic = iter(asset), iter(cash)
+        return [(k, a, b, next(ic if "CASH" in (a, b) else it)) for a, b in names]
+
+    x, y, z = "A_TO_B", "B_TO_A", "EQUILIBRIUM"
+    rows_ = case(1, (x, y, z), (x, x, y)) + case(2, (x, x, x), (x, x, x)) + case(3, (x, x, y), (x, x, y)) + case(4, (y, y, y), (x, z, z))
+    got = {r.k: (r.cash_net, round(r.variance, 4), r.signal, r.confidence) for r in flows.cash_signal(spark.createDataFrame(rows_, "k int, vertex_a string, vertex_b string, direction string"), ["k"]).collect()}
+    assert got == {1: (0, 0.0, "neutral", 1.0), 2: (3, 0.0, "metric_shift", 1.0), 3: (1, 0.8889, "genuine_flow", 1.0), 4: (-3, 0.2222, "mixed", 0.5)}
