@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom import cli
 from barloom.functions import indicators
 from barloom.operators import bars as bar
-from barloom.operators import events, flows
+from barloom.operators import events, flows, routing
 from barloom.operators.layers import FIELDS, Settings, layer, layers, pick
 from barloom.sources import tables, vendor
 from barloom.sources.fixtures import walk_bars
@@ -176,3 +176,17 @@ def test_cash_signal_by_hand(spark):
     rows_ = case(1, (x, y, z), (x, x, y)) + case(2, (x, x, x), (x, x, x)) + case(3, (x, x, y), (x, x, y)) + case(4, (y, y, y), (x, z, z))
     got = {r.k: (r.cash_net, round(r.variance, 4), r.signal, r.confidence) for r in flows.cash_signal(spark.createDataFrame(rows_, "k int, vertex_a string, vertex_b string, direction string"), ["k"]).collect()}
     assert got == {1: (0, 0.0, "neutral", 1.0), 2: (3, 0.0, "metric_shift", 1.0), 3: (1, 0.8889, "genuine_flow", 1.0), 4: (-3, 0.2222, "mixed", 0.5)}
+
+
+def test_routes(spark):
+    events_ = spark.createDataFrame(
+        [(1, "file_change", "src/a.py", None, None, 3), (2, "annotation", None, None, "please review this", 1), (3, "tool_error", "", "grep", None, 9), (4, "file_change", "doc/a.md", None, None, None)],
+        "id long, event_type string, path string, tool_name string, annotation string, n long",
+    )
+    table = routing.rules(
+        spark,
+        [("file_change", "src/*.py", "", "t", "low one", "low_async"), ("file_change", "src/*", "n >= 3", "t", "urgent", "critical"), ("annotation", "review", "", "t", "look", "odd"), ("tool_error", "gr*", "n < 9", "t", "no", "high"),
+         ("tool_error", "gr*", "n > 8", "t", "yes", "high"), ("file_change", "", "sometimes", "t", "never", "high"), ("file_change", "*", "n == 0", "t", "no", "high")],
+    )
+    got = [(r.id, r.action, r.place) for r in routing.routed(events_, table, "id").orderBy("id", "place").collect()]
+    assert got == [(1, "urgent", 1), (1, "low one", 2), (2, "look", 1), (3, "yes", 1)]
