@@ -9,6 +9,8 @@ from barloom.session import checkpointed
 
 #: Rounds after which something must be wrong: each round at least halves the longest path.
 MAX_ROUNDS = 64
+#: Edges a task, and the fewest tasks.
+ROWS, LEAST_TASKS = 250_000, 6
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,13 +28,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = mark(links)
     for _ in range(MAX_ROUNDS):
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(lower, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))).distinct()
-        links = checkpointed(small)
+        few = max(LEAST_TASKS, -(-state[0] // ROWS))  # a small graph takes few tasks: each of a shuffle's tasks leaves files
+        links = links.coalesce(few)
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(few)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(few)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(few).distinct().coalesce(few)
+        lower = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(few)
+        joined = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = checkpointed(joined.union(lower.select("a", F.col("m").alias("b"))).coalesce(few).distinct().coalesce(few))
         now = mark(links)
         if now == state:
             break

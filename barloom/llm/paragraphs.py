@@ -8,9 +8,9 @@ at places that depend on the words round them only, so a passage that stands ins
 different paragraphs gives equal pieces; neighbouring repeated pieces are joined, and
 reported from WORDS words on.
 
-Equal paragraphs are one node from the start, and a bucket of a band pairs each member with
-the bucket's first and with the two before it, never all with all: pairs grow with the number
-of members, and BANDS buckets in different orders tie a class together.
+Equal paragraphs are one node from the start. A bucket of a band never pairs all with all:
+its members are compared with its least, and in a second round the classes that this leaves
+apart are compared by one member each, so pairs grow with the number of members.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LIKE = 0.8
 SHINGLE = 5
 #: 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.995 of pairs at likeness 0.8 meet, and nearly all above.
 BANDS, ROWS = 10, 4
+#: Classes before it in a bucket that a class is compared with in the second round.
+REACH = 8
 #: Paragraphs over so many words are also cut into pieces; a cut is least in so many words each way.
 LONG, RADIUS = 40, 6
 #: Candidate texts up to which their ids are broadcast (8 bytes each).
@@ -204,24 +206,40 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different paragraphs that share a band: with the bucket's first, and the two before."""
+def shared_buckets(distinct: DataFrame) -> DataFrame:
+    """(key, uid, first): members of buckets that two or more different paragraphs share, and the bucket's least."""
+    of_key = Window.partitionBy("key")
     keyed = distinct.select("uid", F.explode("bands").alias("key"))
-    order = Window.partitionBy("key").orderBy("uid")
-    near = keyed.select("uid", F.array(F.first("uid").over(order), F.lag("uid", 1).over(order), F.lag("uid", 2).over(order)).alias("other"))
-    pairs = near.where(F.col("other")[0] != F.col("uid")).select("uid", F.explode(F.array_distinct("other")).alias("b"))
-    return pairs.where("b is not null and b <> uid").select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct()
+    return keyed.select("key", "uid", F.min("uid").over(of_key).alias("first"), F.max("uid").over(of_key).alias("last")).where("first <> last").drop("last")
 
 
 def links(table: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Verified edges (a, b) between paragraph ids: exact Jaccard of LIKE or more."""
-    pairs = checkpointed(candidate_pairs(distinct))
-    wanted = checkpointed(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct())
+    """Verified edges (a, b) between paragraph ids: exact Jaccard of LIKE or more.
+
+    First each member of a bucket is compared with the bucket's least. What that leaves
+    apart is compared again, one member for each class found so far: with the least and the
+    REACH before it in every bucket. Two classes that meet in a bucket of up to REACH + 2
+    classes are so compared in every case.
+    """
+    shared = checkpointed(shared_buckets(distinct))
+    wanted = checkpointed(shared.select("uid").distinct())
     few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     texts = table.where("piece = -1").select("uid", "text").join(few, "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
     texts = checkpointed(texts)
-    met = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
-    return met.where(_jaccard("ta", "tb") >= LIKE).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
+        return checkpointed(met.where(_jaccard("ta", "tb") >= LIKE).select("a", "b"))
+
+    one = verified(shared.where("first <> uid").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct())
+    classes = connected_components(one).withColumnRenamed("node", "uid")
+    named = shared.select("key", "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid"))
+    ends = named.groupBy("key", "c").agg(F.min("uid").alias("uid"))
+    order = Window.partitionBy("key").orderBy("uid")
+    near = ends.select("uid", F.array(F.first("uid").over(order), *[F.lag("uid", k).over(order) for k in range(1, REACH + 1)]).alias("other"))
+    left = near.where(F.get("other", F.lit(0)) != F.col("uid")).select("uid", F.explode(F.array_distinct("other")).alias("b")).where("b is not null")
+    two = verified(left.select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct())
+    return one.union(two)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
