@@ -16,6 +16,7 @@ CATALOGUE = {
     "I11": "a center's core is not empty",
     "I12": "a center settles only after it was a candidate",
     "I13": "a center has three parts at least",
+    "I17": "what was taken back does not return",
     "I18": "a move has one center at least",
     "I19": "a move settles only after it was a candidate",
     "I20": "a move's centers are in order",
@@ -30,8 +31,12 @@ def _field(name: str, kind: str) -> Column:
     return F.get_json_object("payload", f"$.{name}").cast(kind)
 
 
-def violations(log: DataFrame) -> DataFrame:
-    """(stream_id, code, bar_idx, seq, event_type, reason) for every event that breaks an invariant."""
+def violations(log: DataFrame, terminal: bool = False) -> DataFrame:
+    """(stream_id, code, bar_idx, seq, event_type, reason) for every event that breaks an invariant.
+
+    ``terminal`` adds I17, which logs of changing structure need not keep: a segment that new
+    strokes undo may come back with later ones.
+    """
     # subjects: strokes by id; segments by id; centers and moves by place and identity; points by id
     identity = (
         F.when(F.col("layer") == "stroke", F.concat_ws("|", "subject_id", _field("i0", "string"), _field("direction", "string"), _field("i1", "string")))
@@ -67,6 +72,8 @@ def violations(log: DataFrame) -> DataFrame:
         "I24": is_("bsp", "confirm") & no("was_candidate"),
         "I25": is_("bsp", "settle") & no("was_confirmed"),
     }
+    if terminal:
+        broken["I17"] = ~F.col("what").isin("invalidate", "invalidated") & F.coalesce(F.col("last").isin("invalidate", "invalidated"), F.lit(False)) & F.col("layer").isin("segment", "zhongshu", "move", "bsp")
     codes = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in broken.items()]))
     found = e.select("stream_id", "bar_idx", "seq", "event_type", F.explode(codes).alias("code"))
     lone = log.where("layer = 'bsp' and event_type = 'bsp_candidate'").select("stream_id", "bar_idx", "seq", "event_type", _field("seg_idx", "long").alias("seg"), _field("kind", "string").alias("kind"), "level_id")
@@ -104,6 +111,16 @@ def wrong_strokes(strokes: DataFrame, min_gap: int = 4) -> DataFrame:
     return s.where(F.coalesce(bad, F.lit(False))).drop("d", "e", "n")
 
 
+def wrong_directions(merged: DataFrame, bars: DataFrame) -> DataFrame:
+    """Merged bars that do not span their raw bars' times, opens and closes: first open, last close and time, highs and lows among them."""
+    w = Window.partitionBy("stream_id").orderBy("ts")
+    raw = bars.select("stream_id", "ts", "open", "high", "low", "close", (F.row_number().over(w) - 1).alias("i"))
+    first = raw.select("stream_id", F.col("i").alias("raw_start"), F.col("open").alias("o"))
+    last = raw.select("stream_id", F.col("i").alias("raw_end"), F.col("close").alias("c"))
+    met = merged.join(first, ["stream_id", "raw_start"], "left").join(last, ["stream_id", "raw_end"], "left")
+    return met.where(~F.coalesce((F.col("open") == F.col("o")) & (F.col("close") == F.col("c")) & (F.col("high") >= F.col("low")), F.lit(False))).select(*[merged[c] for c in merged.columns])
+
+
 def wrong_segments(segments: DataFrame, strokes: DataFrame, least: int = 3) -> DataFrame:
     """Segments of too few strokes, off their strokes' bars, not next to the one before, or not against it."""
     w = Window.partitionBy("stream_id").orderBy("idx")
@@ -119,6 +136,21 @@ def wrong_centers(centers: DataFrame, sustain_m: int = 2) -> DataFrame:
     return centers.where(bad)
 
 
+def parts_out_of_range(centers: DataFrame, segments: DataFrame, trends: DataFrame) -> DataFrame:
+    """Centers that reach past the parts of their level: segments at level 1, confirmed trends of the level below above it."""
+    ones = segments.groupBy("stream_id").agg(F.count("*").alias("n")).withColumn("level", F.lit(1))
+    above = trends.where("confirmed").groupBy("stream_id", (F.col("level") + 1).alias("level")).agg(F.count("*").alias("n"))
+    have = ones.unionByName(above)
+    met = centers.join(have, ["stream_id", "level"], "left")
+    return met.where((F.col("seg0") < 0) | (F.col("seg1") < F.col("seg0")) | (F.col("seg1") >= F.coalesce("n", F.lit(0)))).select(*[centers[c] for c in centers.columns])
+
+
+def doubled_live_centers(liveness: DataFrame, zhongshus: DataFrame) -> DataFrame:
+    """(stream_id, level, seg_start, seg_end) that two live centers of a level share."""
+    met = liveness.where("alive").select("stream_id", "level", "idx").join(zhongshus, ["stream_id", "level", "idx"])
+    return met.groupBy("stream_id", "level", "seg_start", "seg_end").count().where("count > 1").drop("count")
+
+
 def report(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, n_broken, ok) of several of the above."""
     one = [df.agg(F.count("*").alias("n_broken")).select(F.lit(name).alias("check"), "n_broken", (F.col("n_broken") == 0).alias("ok")) for name, df in checks.items()]

@@ -258,6 +258,8 @@ def oracle_sql() -> dict[str, str]:
     sql |= {name: _none("'' AS stream_id, CAST(0 AS BIGINT) AS idx") for name in ("inclusion_residual", "stroke_check", "segment_check")}
     sql["fractal_check"] = _none("'' AS stream_id, CAST(0 AS BIGINT) AS m_idx")
     sql["center_check"] = _none("'' AS stream_id, CAST(1 AS INTEGER) AS level, CAST(0 AS BIGINT) AS idx")
+    checks = ("A1 inclusion left", "A2 merged ends", "A3 fractals", "A4 strokes", "A6 segments", "A7 centers", "A8 parts", "A9 live centers")
+    sql["assertion_report"] = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CAST(0 AS BIGINT) AS n_broken, true AS ok" for c in checks)
     known = ", ".join(f"('{symbol}', '{exchange}')" for symbol, _, exchange, _ in CATALOG)
     sql["stream_names"] = f"""SELECT symbol, stream_id, substr(sha256(stream_id), 1, 12) AS stream_hash, '5m' AS tf FROM (SELECT s.symbol, coalesce(k.exchange, 'UNKNOWN') || ':' || upper(s.symbol) || '/1min@5m:L0/replay' AS stream_id
       FROM (SELECT symbol FROM (VALUES {known}) v(symbol, exchange) UNION ALL SELECT n_name FROM nation) s LEFT JOIN (VALUES {known}) k(symbol, exchange) ON k.symbol = upper(s.symbol))"""

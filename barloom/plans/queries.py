@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import indicators, streams
 from barloom.operators import bars as bar
 from barloom.operators import bus, events, flows, invariants, overlay, routing, signals_df, structure_df
-from barloom.operators.layers import Settings, layer
+from barloom.operators.layers import Settings, layer, layers, pick
 from barloom.sources.fixtures import brand_bars, event_bars, table, walk_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,24 @@ def center_check(s: SparkSession, d: str) -> DataFrame:
     return invariants.wrong_centers(layer(walk_bars(s, d, "5m"), "centers")).select("stream_id", "level", "idx")
 
 
+def assertion_report(s: SparkSession, d: str) -> DataFrame:
+    """Every structural check over one pass of all layers."""
+    b = walk_bars(s, d, "5m")
+    of = {name: pick(t, name) for t in [layers(b, ("merged", "fractals", "strokes", "segments", "zhongshus", "centers", "trends", "liveness")).persist()] for name in ("merged", "fractals", "strokes", "segments", "zhongshus", "centers", "trends", "liveness")}
+    return invariants.report(
+        {
+            "A1 inclusion left": invariants.inclusion_left(of["merged"]),
+            "A2 merged ends": invariants.wrong_directions(of["merged"], b),
+            "A3 fractals": invariants.wrong_fractals(of["fractals"], of["merged"]),
+            "A4 strokes": invariants.wrong_strokes(of["strokes"]),
+            "A6 segments": invariants.wrong_segments(of["segments"], of["strokes"]),
+            "A7 centers": invariants.wrong_centers(of["centers"]),
+            "A8 parts": invariants.parts_out_of_range(of["centers"], of["segments"], of["trends"]),
+            "A9 live centers": invariants.doubled_live_centers(of["liveness"], of["zhongshus"]),
+        }
+    )
+
+
 def routed_events(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select("event_id", F.col("event_type"), F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit(".json")).alias("path"), F.floor("value").cast("long").alias("value"))
     rules = routing.rules(s, [("purchase", "users/1*.json", "value >= 100", "desk", "review", "high"), ("purchase", "", "", "ledger", "book", "medium"), ("error", "*/7*", "", "ops", "page", "high"), ("click", "", "value < 5", "noise", "drop", "low")])
@@ -295,7 +313,7 @@ def queries() -> dict[str, Query]:
         tail_n, range_page, client_records, upsert_keep_last, current_bars, catalog_search, regular_hours, brand_daily, daily_rank, spread_bars, ratio_bars, ratio_cv, as_of_start, as_of_close,
         macd_area, inclusion, fractals, fractals_dedup, segments_v0, zhongshu_over_v0, stroke_metrics, layer_counts, brand_strokes, user_stroke_counts, force_amplitude, force_macd,
         vertex_net_flow, resonance, cash_signal, conservation_check, flow_timeline, stroke_flows, pair_validation, ratio_structure,
-        event_counts, stroke_event_log, replay_seek, stream_fingerprints, invariant_violations, inclusion_residual, fractal_check, stroke_check, segment_check, center_check, routed_events, overlay_json, stream_names, multi_tf_events, drained_events, engine_metrics,
+        event_counts, stroke_event_log, replay_seek, stream_fingerprints, invariant_violations, inclusion_residual, fractal_check, stroke_check, segment_check, center_check, assertion_report, routed_events, overlay_json, stream_names, multi_tf_events, drained_events, engine_metrics,
     ):
         out[f.__name__] = f
     out |= {

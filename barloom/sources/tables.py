@@ -27,6 +27,11 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def bars_from_rows(spark: SparkSession, rows: list[tuple], stream: str) -> DataFrame:
+    """Bars from (ts, open, high, low, close[, volume]) rows of one stream; a missing volume is null."""
+    return spark.createDataFrame([(stream, *r, *[None] * (6 - len(r))) for r in rows], SCHEMA)
+
+
 def write_bars(bars: DataFrame, path: str, by_stream: bool = True) -> None:
     """Overwrite a Parquet table, one folder a stream, so that a read of one stream opens its files only."""
     writer = bars.write.mode("overwrite")

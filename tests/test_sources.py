@@ -10,6 +10,7 @@ from barloom import cli
 from barloom.functions import indicators
 from barloom.operators import bars as bar
 from barloom.operators import events, flows, routing
+from barloom.operators import invariants as inv
 from barloom.operators.layers import FIELDS, Settings, layer, layers, pick
 from barloom.sources import tables, vendor
 from barloom.sources.fixtures import walk_bars
@@ -190,3 +191,28 @@ def test_routes(spark):
     )
     got = [(r.id, r.action, r.place) for r in routing.routed(events_, table, "id").orderBy("id", "place").collect()]
     assert got == [(1, "urgent", 1), (1, "low one", 2), (2, "look", 1), (3, "yes", 1)]
+
+
+def test_broken_layers_are_found(spark, sf):
+    b = walk_bars(spark, sf, "5m")
+    t = layers(b, ("merged", "fractals", "strokes", "segments", "centers", "trends")).cache()
+    of = {n: pick(t, n) for n in ("merged", "fractals", "strokes", "segments", "centers", "trends")}
+    odd = (F.col("idx") == 3) & (F.col("stream_id") == "view")
+    assert inv.wrong_fractals(of["fractals"].withColumn("price", F.when(odd, 0.0).otherwise(F.col("price"))), of["merged"]).count() == 1
+    assert inv.wrong_strokes(of["strokes"].withColumn("i1", F.when(odd, F.col("i1") + 1).otherwise(F.col("i1")))).count() >= 1
+    assert inv.wrong_strokes(of["strokes"].withColumn("confirmed", F.lit(True))).count() == of["strokes"].select("stream_id").distinct().count()
+    assert inv.inclusion_left(of["merged"].withColumn("high", F.when(odd, 1e12).otherwise(F.col("high")))).count() >= 1
+    assert inv.wrong_segments(of["segments"].withColumn("s0", F.col("s0") + F.when(F.col("idx") == 1, 2).otherwise(0)), of["strokes"]).count() >= 1
+    assert inv.wrong_centers(of["centers"].withColumn("kind", F.lit("candidate")).where("sustain >= 2")).count() == of["centers"].where("sustain >= 2").count()
+    assert inv.parts_out_of_range(of["centers"], of["segments"].limit(0), of["trends"]).count() == of["centers"].where("level = 1").count()
+
+
+def test_broken_logs_are_found(spark, sf):
+    log = events.event_log(walk_bars(spark, sf, "5m"))
+    assert inv.violations(log).isEmpty()
+    codes = lambda df: {r.code for r in inv.violations(df).select("code").distinct().collect()}
+    twice = log.unionByName(log.where("event_type = 'stroke_settled'").withColumn("bar_idx", F.col("bar_idx") + 100_000).withColumn("seq", F.col("seq") + 100_000))
+    assert "I1" in codes(twice)
+    assert "I2" in codes(log.withColumn("bar_ts", -F.col("bar_ts"))) and "I4" in codes(log.withColumn("seq", -F.col("seq")))
+    assert codes(log.where("event_type <> 'segment_break_pending'")) == {"I6"} and "I12" in codes(log.where("event_type <> 'zhongshu_candidate'"))
+    assert "I7" in codes(log.withColumn("payload", F.regexp_replace("payload", '"s1": ', '"s1": 9')))
