@@ -38,7 +38,7 @@ BANDS, ROWS = 10, 4
 REACH = 8
 #: Paragraphs over so many words are also cut into pieces; a cut is least in so many words each way.
 LONG, RADIUS = 40, 6
-#: Candidate texts up to which their ids are broadcast (8 bytes each).
+#: Ids of paragraphs up to which they are broadcast to fetch texts (8 bytes each).
 FEW = 1_000_000
 #: Bytes of text handled at once in a worker.
 BLOCK = 1_000_000
@@ -196,13 +196,18 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([like(x, y) for x, y in zip(a, b)])
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """A checkpointed table of ids, to be broadcast if it has FEW rows at most; beyond that the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def unit_table(docs: DataFrame) -> DataFrame:
     """Units of all documents, written once to the shared folder and read back by column."""
     spark = docs.sparkSession
     ship_package(spark)
     path = f"{shared_folder(spark)}/barloom-units-{uuid.uuid4().hex}"
     schema = "doc_id long, line int, piece int, start long, end long, words int, uid long, bands array<long>, text string"
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_unit_batches, schema).write.parquet(path)
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_unit_batches, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -223,8 +228,7 @@ def links(table: DataFrame, distinct: DataFrame) -> DataFrame:
     """
     shared = checkpointed(shared_buckets(distinct))
     wanted = checkpointed(shared.select("uid").distinct())
-    few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    texts = table.where("piece = -1").select("uid", "text").join(few, "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
+    texts = table.where("piece = -1").select("uid", "text").join(sized(wanted), "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
     texts = checkpointed(texts)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -268,8 +272,10 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.col("keeper.doc_id").alias("component_id"), (F.col("keeper").eqNullSafe(F.struct("doc_id", "start"))).alias("kept"),
     )
     pieces = table.where("piece >= 0").select(*columns, "piece", "uid")
-    copies = pieces.groupBy("uid").agg(F.min(at).alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = pieces.join(copies, "uid").withColumn("kept", F.col("keeper").eqNullSafe(F.struct("doc_id", "start")))
+    copied = pieces.groupBy("uid").count().where("count > 1").select("uid")
+    same = pieces.join(copied, "uid")
+    keepers = same.groupBy("uid").agg(F.min(at).alias("keeper"))
+    same = same.join(keepers, "uid").withColumn("kept", F.col("keeper").eqNullSafe(F.struct("doc_id", "start")))
     # pieces of a paragraph that is reported as a whole are left out
     same = same.join(marked.select(F.col("doc_id").alias("d"), F.col("line").alias("l")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left_anti")
     order = Window.partitionBy("doc_id", "line").orderBy("piece")
