@@ -120,7 +120,7 @@ class TrieBpe:
 
     def stays_apart(self, pair: tuple[int, int]) -> bool:
         """Whether two tokens can stand side by side in an encoding."""
-        if len(self.apart) > 2 * MAX_WORDS:
+        if len(self.apart) > MAX_WORDS:
             self.apart.clear()
         ok = self.apart[pair] = self.seam(*pair)
         return ok
@@ -241,7 +241,7 @@ def encoder(path: str) -> TrieBpe:
 
 
 #: Code points whose words are learnt together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def _blocks(texts: pd.Series) -> Iterator[list[str]]:
