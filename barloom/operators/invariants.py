@@ -12,7 +12,7 @@ CATALOGUE = {
     "I4": "seq grows within an engine",
     "I6": "a segment settles only after its break was pending",
     "I7": "a settled segment ends one stroke before the next starts",
-    "I9": "nothing is taken back twice",
+    "I9": "nothing is taken back twice unless it settled between",
     "I11": "a center's core is not empty",
     "I12": "a center settles only after it was a candidate",
     "I13": "a center has three parts at least",
@@ -45,12 +45,16 @@ def violations(log: DataFrame, terminal: bool = False) -> DataFrame:
         .when(F.col("layer") == "move", _field("seg_start", "string"))
         .otherwise(F.col("subject_id").cast("string"))
     )
+    ends = F.when(F.col("layer") == "segment", _field("s1", "string")).when(F.col("layer") == "zhongshu", _field("seg_end", "string")).otherwise("")
     of_one = Window.partitionBy("stream_id", "layer", "level_id", "identity").orderBy("bar_idx", "seq")
+    of_whole = Window.partitionBy("stream_id", "layer", "level_id", "identity", "ends").orderBy("bar_idx", "seq").rowsBetween(Window.unboundedPreceding, -1)
     engine = Window.partitionBy("stream_id", "engine").orderBy("bar_idx", "seq")
     arrival = Window.partitionBy("stream_id").orderBy("bar_idx")
     what = F.regexp_extract("event_type", "[a-z]+$", 0)
-    e = log.withColumn("identity", identity).withColumn("engine", F.when(F.col("level_id") > 1, F.concat(F.lit("level"), "level_id")).otherwise(F.col("layer")))
+    e = log.withColumns({"identity": identity, "ends": ends}).withColumn("engine", F.when(F.col("level_id") > 1, F.concat(F.lit("level"), "level_id")).otherwise(F.col("layer")))
     e = e.withColumns({"what": what, "last": F.lag(what).over(of_one), "seq_before": F.lag("seq").over(engine), "ts_before": F.lag("bar_ts").over(arrival)})
+    decided = F.when(F.col("what").isin("settle", "settled", "invalidate", "invalidated"), F.col("what"))
+    e = e.withColumn("decided", F.last(decided, ignorenulls=True).over(of_whole))
     before = of_one.rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumns({"was_pending": F.max(F.col("what") == "pending").over(before), "was_candidate": F.max(F.col("what") == "candidate").over(before), "was_confirmed": F.max(F.col("what") == "confirm").over(before)})
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
@@ -61,7 +65,7 @@ def violations(log: DataFrame, terminal: bool = False) -> DataFrame:
         "I4": F.col("seq") <= F.col("seq_before"),
         "I6": is_("segment", "settle") & no("was_pending"),
         "I7": is_("segment", "settle") & (_field("s1", "long") != _field("new_segment_s0", "long") - 1),
-        "I9": F.col("what").isin("invalidate", "invalidated") & F.coalesce(F.col("last").isin("invalidate", "invalidated"), F.lit(False)),
+        "I9": F.col("what").isin("invalidate", "invalidated") & F.coalesce(F.col("decided").isin("invalidate", "invalidated"), F.lit(False)) & (F.col("layer") != "stroke"),
         "I11": is_("zhongshu", "candidate", "settle") & (_field("zg", "double") <= _field("zd", "double")),
         "I12": is_("zhongshu", "settle") & no("was_candidate"),
         "I13": is_("zhongshu", "candidate", "settle") & (_field("seg_count", "long") < 3),
