@@ -79,23 +79,22 @@ def imbalance(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.groupBy(*keys).agg(F.sum("net").alias("total")).where("total <> 0")
 
 
-def flow_timeline(events: DataFrame, order: list[str]) -> DataFrame:
-    """After every edge event, the net flow of all four vertices: order columns, vertex, net, strength.
+def flow_timeline(events: DataFrame, order: list[str], graphs: tuple[str, ...] = ()) -> DataFrame:
+    """After every edge event, the net flow of all four vertices: graphs, order columns, vertex, net, strength.
 
     Each edge keeps its last direction; an edge given the other way round is turned. Events
-    of unknown edges change nothing but still have their rows. The events of all edges are
-    one sequence, so one task orders them; they are pre-aggregated per edge by the caller
-    (one event an edge and bar).
+    of unknown edges change nothing but still have their rows. The events of a graph are one
+    sequence; ``graphs`` are the columns that tell graphs apart, which are ordered apart.
     """
     turn = F.col("vertex_a") > F.col("vertex_b")
     sign = F.when(F.col("direction") == EQUILIBRIUM, F.lit(0)).otherwise(F.when(turn, -_sign(F.col("direction"))).otherwise(_sign(F.col("direction"))))
-    e = events.select(*order, F.least("vertex_a", "vertex_b").alias("a"), F.greatest("vertex_a", "vertex_b").alias("b"), sign.alias("s"))
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    e = events.select(*graphs, *order, F.least("vertex_a", "vertex_b").alias("a"), F.greatest("vertex_a", "vertex_b").alias("b"), sign.alias("s"))
+    upto = Window.partitionBy(*graphs).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     known = sorted(VERTICES)
     edges = [(x, y) for i, x in enumerate(known) for y in known[i + 1 :]]
-    state = e.select(*order, *[F.coalesce(F.last(F.when((F.col("a") == x) & (F.col("b") == y), F.col("s")), ignorenulls=True).over(upto), F.lit(0)).alias(f"{x}__{y}") for x, y in edges])
+    state = e.select(*graphs, *order, *[F.coalesce(F.last(F.when((F.col("a") == x) & (F.col("b") == y), F.col("s")), ignorenulls=True).over(upto), F.lit(0)).alias(f"{x}__{y}") for x, y in edges])
     nets = [F.struct(F.lit(v).alias("vertex"), sum((F.col(f"{x}__{y}") * (1 if x == v else -1) for x, y in edges if v in (x, y)), F.lit(0)).cast("long").alias("net")) for v in VERTICES]
-    return state.select(*order, F.explode(F.array(*nets)).alias("v")).select(*order, "v.*").withColumn("strength", _strength(F.col("net")))
+    return state.select(*graphs, *order, F.explode(F.array(*nets)).alias("v")).select(*graphs, *order, "v.*").withColumn("strength", _strength(F.col("net")))
 
 
 def cash_signal(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,15 +173,16 @@ def ratio_structure(paired: DataFrame, zero: DataFrame | None = None, settings:
     return checked.join(segments, "pair_id", "left").select("pair_id", "valid", F.col("reason").alias("error"), "n_bars", "n_strokes", F.when(F.col("valid"), F.coalesce("n_segments", F.lit(0))).alias("n_segments"))
 
 
-def edge_directions(bars: DataFrame, of_class: dict[str, str]) -> DataFrame:
+def edge_directions(bars: DataFrame, of_class: dict[str, str], graphs: tuple[str, ...] = ()) -> DataFrame:
     """Direction of each of the six edges at each time all classes have bars: how the ratio of closes moved since the time before.
 
-    ``of_class`` names the stream that stands for each class. (ts, vertex_a, vertex_b, direction)
+    ``of_class`` names the stream that stands for each class; ``graphs`` are columns of bars
+    that tell graphs apart. (graphs, ts, vertex_a, vertex_b, direction)
     """
     names = [(a, b) for i, a in enumerate(VERTICES) for b in VERTICES[i + 1 :]]
-    wide = bars.groupBy("ts").agg(*[F.max(F.when(F.col("stream_id") == of_class[v], F.col("close"))).alias(v) for v in VERTICES]).dropna()
-    before = Window.orderBy("ts")
-    wide = wide.select("ts", *VERTICES, *[F.lag(v).over(before).alias(f"p_{v}") for v in VERTICES]).dropna()
+    wide = bars.groupBy(*graphs, "ts").agg(*[F.max(F.when(F.col("stream_id") == of_class[v], F.col("close"))).alias(v) for v in VERTICES]).dropna()
+    before = Window.partitionBy(*graphs).orderBy("ts")
+    wide = wide.select(*graphs, "ts", *VERTICES, *[F.lag(v).over(before).alias(f"p_{v}") for v in VERTICES]).dropna()
 
     def direction(a: str, b: str) -> Column:
         # closes are whole and positive: a/b rose if a * previous b > previous a * b
@@ -190,7 +190,7 @@ def edge_directions(bars: DataFrame, of_class: dict[str, str]) -> DataFrame:
         return F.when(now > then, B_TO_A).when(now < then, A_TO_B).otherwise(EQUILIBRIUM)
 
     edges = F.array(*[F.struct(F.lit(a).alias("vertex_a"), F.lit(b).alias("vertex_b"), direction(a, b).alias("direction")) for a, b in names])
-    return wide.select("ts", F.explode(edges).alias("e")).select("ts", "e.*")
+    return wide.select(*graphs, "ts", F.explode(edges).alias("e")).select(*graphs, "ts", "e.*")
 
 
 __all__ = [

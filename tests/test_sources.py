@@ -217,3 +217,13 @@ def test_broken_logs_are_found(spark):
     assert "I2" in codes(log.withColumn("bar_ts", -F.col("bar_ts"))) and "I4" in codes(log.withColumn("seq", -F.col("seq")))
     assert codes(log.where("event_type <> 'segment_break_pending'")) == {"I6"} and "I12" in codes(log.where("event_type <> 'zhongshu_candidate'"))
     assert "I7" in codes(log.withColumn("payload", F.regexp_replace("payload", '"s1": ', '"s1": 9')))
+
+
+def test_graphs_are_apart(spark, sf):
+    of = {"EQUITY": "view", "REAL_ESTATE": "signup", "COMMODITY": "click", "CASH": "purchase"}
+    b = walk_bars(spark, sf)
+    two = b.withColumn("g", F.lit(1)).unionByName(b.withColumns({"g": F.lit(2), "close": -F.col("close") + 3_000_000}))
+    edges = flows.edge_directions(two, of, ("g",))
+    assert rows(edges.where("g = 1").drop("g")) == rows(flows.edge_directions(b, of))
+    order = ["ts", "vertex_a", "vertex_b"]
+    assert rows(flows.flow_timeline(edges, order, ("g",)).where("g = 1").drop("g")) == rows(flows.flow_timeline(edges.where("g = 1").drop("g"), order))
