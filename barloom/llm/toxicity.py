@@ -77,25 +77,33 @@ def fit(sample: list[tuple[str, int]]) -> NbLinear:
     shares = (counts + 1.0) / (counts + 1.0).sum(axis=1, keepdims=True)
     ratio = np.log(shares[1] / shares[0])
     keep = (counts.sum(axis=0) >= SUPPORT) & (np.abs(ratio) >= RATIO)
+    place = np.cumsum(keep) - 1  # kept buckets, numbered
     for block in blocks(texts):
         doc, bucket = features([texts[i] for i in block], keep)
         docs.append(np.asarray(block)[doc].astype(np.int32))
-        buckets.append(bucket.astype(np.int32))
-    doc, bucket = np.concatenate(docs), np.concatenate(buckets)
-    value = ratio[bucket]
-    norm = np.bincount(doc, value * value, len(y)).mean() + 1
-    w, b = np.zeros(size), 0.0
+        buckets.append(place[bucket].astype(np.int32))
+    scale = ratio[keep]
+    power = np.zeros(len(y))
+    for doc, bucket in zip(docs, buckets):
+        power += np.bincount(doc, scale[bucket] ** 2, len(y))
+    norm = power.mean() + 1
+    w, b = np.zeros(len(scale)), 0.0
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes weigh the same
-    speed_w, speed_b = np.zeros(size), 0.0
+    speed_w, speed_b = np.zeros(len(scale)), 0.0
     for _ in range(ROUNDS):
-        z = np.bincount(doc, value * w[bucket], len(y)) + b
+        z, slope, scaled = np.full(len(y), b), np.zeros(len(scale)), scale * w
+        for doc, bucket in zip(docs, buckets):
+            z += np.bincount(doc, scaled[bucket], len(y))
         gap = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        slope = np.bincount(bucket, value * gap[doc], size) / len(y) + RIDGE * w
-        speed_w = 0.9 * speed_w - RATE * 4 / norm * slope
+        for doc, bucket in zip(docs, buckets):
+            slope += np.bincount(bucket, gap[doc], len(scale))
+        speed_w = 0.9 * speed_w - RATE * 4 / norm * (scale * slope / len(y) + RIDGE * w)
         speed_b = 0.9 * speed_b - RATE * 0.4 * gap.mean()
         w += speed_w
         b += speed_b
-    return NbLinear(w * ratio * keep, float(b))
+    weights = np.zeros(size)
+    weights[keep] = w * scale
+    return NbLinear(weights, float(b))
 
 
 def scored(docs: DataFrame, model: NbLinear, column: str = "score") -> DataFrame:
