@@ -3,10 +3,10 @@
 Paragraphs (lines of WORDS words or more) are compared by the Jaccard likeness of their
 5-word shingles: MinHash signatures are cut into bands tuned for high recall at LIKE,
 paragraphs that meet in a band are paired, every pair is verified on the exact shingle sets,
-and components of verified links are the classes. Long paragraphs are also cut into pieces
-at places that depend on the words round them only, so a passage that stands inside
-different paragraphs gives equal pieces; neighbouring repeated pieces are joined, and
-reported from WORDS words on.
+and components of verified links are the classes. Passages are runs of WORDS words or more that
+stand elsewhere too, whatever the lines: of each such run the least hash of GRAM words is
+its seed; seeds that repeat point to the places where all runs are then counted exactly, and
+neighbouring repeated runs are joined.
 
 Equal paragraphs are one node from the start. A bucket of a band never pairs all with all:
 its members are compared with its least, and in a second round the classes that this leaves
@@ -36,8 +36,8 @@ SHINGLE = 5
 BANDS, ROWS = 10, 4
 #: Classes before it in a bucket that a class is compared with in the second round.
 REACH = 8
-#: Paragraphs over so many words are also cut into pieces; a cut is least in so many words each way.
-LONG, RADIUS = 40, 6
+#: Words of a seed.
+GRAM = 10
 #: Ids of paragraphs up to which they are broadcast to fetch texts (8 bytes each).
 FEW = 1_000_000
 #: Bytes of text handled at once in a worker.
@@ -47,10 +47,12 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_G = _RNG.integers(1, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 UNITS = pa.schema(
     [("doc_id", pa.int64()), ("line", pa.int32()), ("piece", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32()), ("uid", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())]
 )
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("at", pa.int32()), ("uid", pa.int64()), ("goes", pa.bool_()), ("covered", pa.bool_()), ("lead", pa.int32()), ("tail", pa.int32())])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,67 +68,94 @@ def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[np.uint64(0)], np.cumsum(values * power, dtype=np.uint64)]), np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE, np.uint64)]))
 
 
+class Tokens:
+    """Words of a block of documents: hashes, bytes, lines and documents, with running sums for hashes of word ranges."""
+
+    def __init__(self, texts: list[str]) -> None:
+        lowered = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        self.raw = b"\n".join([*lowered, b""])
+        data = np.frombuffer(self.raw, np.uint8)
+        doc_ends = np.cumsum(np.fromiter((len(b) + 1 for b in lowered), np.int64, len(lowered)))
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
+        self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total, back = _sums(data.astype(np.uint64) + np.uint64(1))
+        self.word = _mixed((total[self.end] - total[self.start]) * back[self.start])
+        self.line = np.cumsum(data == 10)[self.start] if len(self.start) else np.zeros(0, np.int64)
+        self.place = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
+        doc_start = np.concatenate([[0], doc_ends[:-1]])
+        self.doc = np.searchsorted(doc_ends, self.start, "right")
+        self.before = self.place[doc_start] - ((data[doc_start] & 0xC0) != 0x80) if len(data) else np.zeros(0, np.int64)
+        self.lines_before = np.concatenate([[0], np.cumsum(data == 10)])[doc_start]
+        self.spoken, self.scale = _sums(self.word)
+
+    def uid(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the word ranges [a, b)."""
+        return _mixed((self.spoken[b] - self.spoken[a]) * self.scale[a] + (b - a).astype(np.uint64)).view(np.int64)
+
+    def line_in(self, a: np.ndarray) -> np.ndarray:
+        """Lines, counted within their documents, on which the words ``a`` stand."""
+        return self.line[a] - self.lines_before[self.doc[a]]
+
+    def span(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the word ranges [a, b) within their documents."""
+        before = self.before[self.doc[a]]
+        return self.place[self.start[a]] - 1 - before, self.place[self.end[b - 1] - 1] - before
+
+    def least_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of the GRAM words at each word, the least of those within the WORDS words from it, and whether a document has that many."""
+        n = len(self.word)
+        if n < WORDS:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        m = n - GRAM + 1
+        gram = _mixed(sum((self.word[j : m + j] * _G[j] for j in range(1, GRAM)), self.word[:m] * _G[0]))
+        least = np.minimum.reduce([gram[j : n - WORDS + 1 + j] for j in range(WORDS - GRAM + 1)])
+        return gram, least, self.doc[: n - WORDS + 1] == self.doc[WORDS - 1 :]
+
+
 def units(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
-    """Paragraphs (piece -1, with bands and text) and pieces of a block of documents; offsets in code points."""
-    lowered = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    raw = b"\n".join([*lowered, b""])
-    data = np.frombuffer(raw, np.uint8)
-    doc_ends = np.cumsum(np.fromiter((len(b) + 1 for b in lowered), np.int64, len(lowered)))
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total, back = _sums(data.astype(np.uint64) + np.uint64(1))
-    word = _mixed((total[end] - total[start]) * back[start])
-    line = np.cumsum(data == 10)[start] if len(start) else np.zeros(0, np.int64)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    count = np.diff(np.append(first, len(line)))
-    place = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
-    doc_start = np.concatenate([[0], doc_ends[:-1]])
-    doc = np.searchsorted(doc_ends, start[first], "right") if len(first) else np.zeros(0, np.int64)
-    before = place[doc_start] - ((data[doc_start] & 0xC0) != 0x80) if len(data) else np.zeros(0, np.int64)
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    spoken, scale = _sums(word)
-
-    def rows(a: np.ndarray, b: np.ndarray, of: np.ndarray, piece: np.ndarray) -> list[np.ndarray]:
-        """doc, line, piece, start, end, words, uid of the word ranges [a, b)."""
-        at, to = start[a], end[b - 1]
-        uid = _mixed((spoken[b] - spoken[a]) * scale[a] + (b - a).astype(np.uint64))
-        return [of, line[a] - breaks[doc_start[of]], piece, place[at] - 1 - before[of], place[to - 1] - before[of], b - a, uid.view(np.int64)]
+    """Paragraphs (piece -1, with bands and text) of a block of documents; offsets in code points."""
+    return _paragraph_rows(ids, Tokens(texts))
 
+
+def _paragraph_rows(ids: list[int | None], t: Tokens) -> pa.RecordBatch:
+    first = np.flatnonzero(np.diff(t.line, prepend=-1))
+    count = np.diff(np.append(first, len(t.line)))
     wide = np.flatnonzero(count >= WORDS)
-    paragraphs = rows(first[wide], first[wide] + count[wide], doc[wide], np.full(len(wide), -1))
-    bands = _bands(word, first[wide], count[wide])
-    from_, to = start[first[wide]], end[first[wide] + count[wide] - 1]
-    text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(from_.tolist(), to.tolist())]
-
-    long = np.flatnonzero(count > LONG)
-    cut = _cuts(word, line)
-    in_long = np.zeros(len(word) + 1, bool)
-    if len(long):
-        marks = np.zeros(len(word) + 1, np.int32)
-        np.add.at(marks, first[long], 1)
-        np.add.at(marks, first[long] + count[long], -1)
-        in_long = np.cumsum(marks) > 0
-    bound = cut & in_long[:-1]
-    bound[first[long]] = True
-    a = np.flatnonzero(bound)
-    line_end = np.repeat(first + count, count)
-    b = np.minimum(np.append(a[1:], len(word)), line_end[a]) if len(a) else a
-    owner = np.repeat(doc, count)[a] if len(a) else a
-    pieces = rows(a, b, owner, np.arange(len(a))) if len(a) else [np.zeros(0, np.int64)] * 7
-    both = [np.concatenate([p, q]) for p, q in zip(paragraphs, pieces)]
-    n = len(pieces[0])
+    a, b = first[wide], first[wide] + count[wide]
+    bands = _bands(t.word, a, count[wide])
+    text = [t.raw[x:y].decode("utf-8", "replace") for x, y in zip(t.start[a].tolist(), t.end[b - 1].tolist())]
+    start, end = t.span(a, b)
+    numbers = [t.line_in(a), np.full(len(a), -1), start, end, b - a, t.uid(a, b)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([ids[i] for i in both[0].tolist()], pa.int64()),
-            *[pa.array(c.astype(t)) for c, t in zip(both[1:], (np.int32, np.int32, np.int64, np.int64, np.int32, np.int64))],
-            pa.ListArray.from_arrays(pa.array(np.concatenate([np.arange(len(wide) + 1), np.full(n, len(wide))]).astype(np.int32) * BANDS), pa.array(bands.ravel())),
-            pa.array([*text, *[None] * n], pa.string()),
+            pa.array([ids[i] for i in t.doc[a].tolist()], pa.int64()),
+            *[pa.array(c.astype(k)) for c, k in zip(numbers, (np.int32, np.int32, np.int64, np.int64, np.int32, np.int64))],
+            pa.ListArray.from_arrays(pa.array((np.arange(len(a) + 1) * BANDS).astype(np.int32)), pa.array(bands.ravel())),
+            pa.array(text, pa.string()),
         ],
         schema=UNITS,
     )
 
 
+def _seed_rows(ids: list[int | None], t: Tokens) -> pa.RecordBatch:
+    """Seeds (piece 0, uid the hash of GRAM words): every place that is least in some WORDS words of its document, whatever the lines.
+
+    Equal runs of WORDS words have equal seeds, so a run that repeats has only seeds that repeat.
+    """
+    gram, least, whole = t.least_grams()
+    most = np.zeros(len(gram), np.uint64)
+    least = np.where(whole, least, np.uint64(0))
+    for j in range(WORDS - GRAM + 1 if len(least) else 0):
+        most[j : j + len(least)] = np.maximum(most[j : j + len(least)], least)
+    at = np.flatnonzero((gram == most) & (most > 0))
+    nulls = [pa.nulls(len(at), UNITS.field(k).type) for k in range(len(UNITS))]
+    nulls[0] = pa.array([ids[i] for i in t.doc[at].tolist()], pa.int64())
+    nulls[2] = pa.array(np.zeros(len(at), np.int32))
+    nulls[6] = pa.array(gram[at].view(np.int64))
+    return pa.RecordBatch.from_arrays(nulls, schema=UNITS)
+
+
 def _bands(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Band keys of the paragraphs that start at ``first`` and have ``count`` words."""
     out = np.empty((len(first), BANDS), np.int64)
@@ -152,33 +181,151 @@ def _bands(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray
     return out
 
 
-def _cuts(word: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Whether a piece starts at each word: its pair with the next word hashes least in RADIUS words each way within its line."""
-    n = len(word)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    g = np.full(n, top)
-    if n > 1:
-        pair = _mixed(word[:-1] * _C[0] + word[1:] * _C[1])
-        g[:-1] = np.where(line[:-1] == line[1:], pair, top)
-    cut = g != top
-    for k in range(1, min(RADIUS, n - 1) + 1):
-        same = line[k:] == line[:-k]
-        cut[k:] &= ~same | (g[k:] < g[:-k])
-        cut[:-k] &= ~same | (g[:-k] < g[k:])
-    return cut
-
-
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], pa.RecordBatch]]:
+    """First column, texts and rows of each batch (doc_id, text, ...), cut into blocks of about BLOCK."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         at = size = 0
         for i, t in enumerate(texts):
             if i > at and size + len(t) > BLOCK:
-                yield units(ids[at:i], texts[at:i])
+                yield ids[at:i], texts[at:i], batch.slice(at, i - at)
                 at, size = i, 0
             size += len(t)
         if at < len(texts):
-            yield units(ids[at:], texts[at:])
+            yield ids[at:], texts[at:], batch.slice(at)
+
+
+def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts, _ in _blocks(batches):
+        t = Tokens(texts)
+        yield _paragraph_rows(ids, t)
+        yield _seed_rows(ids, t)
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of WORDS words whose seed repeats, from (doc_id, text, t, seeds, paragraphs): one row a word that starts one.
+
+    Those inside a paragraph that repeats word for word are left to its first occurrence.
+    """
+    for ids, texts, batch in _blocks(batches):
+        t = Tokens(texts)
+        _, least, whole = t.least_grams()
+        bounds = np.searchsorted(t.doc, np.arange(len(ids) + 1))
+        n = len(t.word)
+        covered, dropped, stays, copy_end = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
+        wanted = np.zeros(len(least), bool)
+        seeds, paragraphs = batch.column(3), batch.column(4)
+        for k in range(len(ids)):
+            lo, hi = int(bounds[k]), int(bounds[k + 1])
+            last = min(hi, len(least))
+            if last > lo:
+                wanted[lo:last] = np.isin(least[lo:last].view(np.int64), np.asarray(seeds[k].values.to_numpy(zero_copy_only=False)))
+            own = paragraphs[k].as_py() or []
+            starts = t.place[t.start[lo:hi]] - 1 - t.before[k] if own else None
+            for p in own:
+                a = lo + int(np.searchsorted(starts, p["start"]))
+                b = a + p["words"]
+                # rows that repeat a doc_id may have another text: the paragraph must be in this one
+                if b > hi or t.uid(np.array([a]), np.array([b]))[0] != p["uid"]:
+                    continue
+                covered[a:b] = True
+                dropped[a:b] |= not p["kept"]
+                stays[a:b] |= p["kept"]
+                if not p["least"]:
+                    copy_end[a:b] = b
+        if not len(least):
+            continue
+        at = np.flatnonzero(wanted & whole & (copy_end[: len(least)] < np.arange(len(least)) + WORDS))
+        bare = np.concatenate([[0], np.cumsum(~covered)])
+        goes = np.concatenate([[0], np.cumsum(dropped)])
+        place = np.arange(n)
+        after = np.minimum.accumulate(np.where(stays, n, place)[::-1])[::-1]
+        ahead = np.maximum.accumulate(np.where(stays, -1, place))
+        keys = batch.column(2).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([ids[i] for i in t.doc[at].tolist()], pa.int64()),
+                pa.array(keys[t.doc[at]].astype(np.int64)),
+                pa.array((at - bounds[t.doc[at]]).astype(np.int32)),
+                pa.array(t.uid(at, at + WORDS)),
+                pa.array(goes[at + WORDS] > goes[at]),
+                pa.array(bare[at + WORDS] == bare[at]),
+                pa.array(np.minimum(after[at] - at, WORDS).astype(np.int32)),
+                pa.array(np.minimum(at + WORDS - 1 - ahead[at + WORDS - 1], WORDS).astype(np.int32)),
+            ],
+            schema=WINDOWS,
+        )
+
+
+def _unfrayed(found: list[dict]) -> list[dict]:
+    """Repeated windows in order, without those at either end of a row of neighbours that only lead by under SHINGLE words
+    to one that more places share: a word or two next to a passage that agree in some of its documents are not part of it."""
+    out, at = [], 0
+    while at < len(found):
+        to = at + 1
+        while to < len(found) and found[to]["at"] - found[to - 1]["at"] <= 1:
+            to += 1
+        a, b = at, to
+        edge = [w["n"] for w in found[a : min(b, a + SHINGLE)]]
+        a += edge.index(max(edge))
+        edge = [w["n"] for w in found[max(a, b - SHINGLE) : b][::-1]]
+        b -= edge.index(max(edge))
+        out += found[a:b]
+        at = to
+    return out
+
+
+def _runs(found: list[dict]) -> list[tuple[int, int, int | None, bool]]:
+    """Word ranges (from, to, keeper's doc_id, kept) of a document's repeated windows (at, lead, tail, n, keeper, kept).
+
+    Neighbouring windows are joined as long as their keepers stand in one document. Where
+    ranges overlap the kept one has the words, and so have paragraphs that stay (``lead`` words
+    from a window's start, ``tail`` before its end): what goes never takes a keeper's words.
+    """
+    runs: list[list] = []
+    for w in _unfrayed(sorted(found, key=lambda w: w["at"])):
+        key, to = [w["keeper"], w["kept"]], w["at"] + WORDS
+        cut = 0 if w["kept"] else w["tail"]
+        if runs and runs[-1][5] in (to, to - 1) and runs[-1][2:4] == key:
+            runs[-1][1], runs[-1][5] = to - cut, to
+        else:
+            runs.append([w["at"] + (0 if w["kept"] else w["lead"]), to - cut, *key, w["at"], to])
+    stay = 0
+    for run in runs:
+        if run[3]:
+            stay = run[1]
+        else:
+            run[0] = max(run[0], stay)
+    stay = None
+    for run in reversed(runs):
+        if run[3]:
+            stay = run[0]
+        elif stay is not None:
+            run[1] = min(run[1], stay)
+    return [tuple(run[:4]) for run in runs if run[0] < run[1]]
+
+
+def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of documents, from (doc_id, text, windows)."""
+    for ids, texts, batch in _blocks(batches):
+        t = Tokens(texts)
+        bounds = np.searchsorted(t.doc, np.arange(len(ids)))
+        spans = [(k, *run) for k, found in enumerate(batch.column(2).to_pylist()) for run in _runs(found)]
+        if not spans:
+            continue
+        of, a, b = (np.array([x[j] for x in spans], np.int64) for j in range(3))
+        a, b = a + bounds[of], b + bounds[of]
+        start, end = t.span(a, b)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([ids[k] for k in of.tolist()], pa.int64()),
+                pa.array(t.line_in(a).astype(np.int32)),
+                *[pa.array(c) for c in (start, end, b - a)],
+                pa.array([x[3] for x in spans], pa.int64()),
+                pa.array([x[4] for x in spans], pa.bool_()),
+            ],
+            names=["doc_id", "line", "start", "end", "n_words", "component_id", "kept"],
+        )
 
 
 def shingles(text: str) -> set[tuple[str, ...]]:
@@ -250,9 +397,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     """One row an occurrence of a passage that repeats.
 
     (doc_id, line, start, end, n_words, kind, component_id, kept): code points, end
-    exclusive; kind is paragraph or passage (inside a paragraph that is no repeat itself);
-    component_id is the smallest doc_id that has the passage; kept marks the occurrence to
-    stay, the first by doc_id and place.
+    exclusive; kind is paragraph or passage (words that no repeated paragraph covers whole,
+    over line ends too; line is that of the first word); component_id is the doc_id whose
+    occurrence stays, for paragraphs the smallest that has one; kept marks the occurrence to
+    stay, the first by doc_id and place. Each passage has one keeper document: where that
+    changes a new row starts, and words that a kept row has are cut off rows that go, which may
+    then be shorter than WORDS. Words of a kept passage stay even if a paragraph's row has them.
 
     Null and empty texts have no passages; null doc_ids sort first; rows that repeat a
     doc_id are one document. Empty table: no rows.
@@ -264,24 +414,44 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = connected_components(links(table, distinct.select("uid", "bands")))
     named = distinct.drop("bands").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid"))
     classes = named.groupBy("c").agg(F.min("least").alias("keeper"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    repeated = checkpointed(named.select("uid", "c").join(classes, "c").select("uid", "keeper"))
+    repeated = checkpointed(named.select("uid", "c", "least").join(classes, "c").select("uid", "keeper", F.col("least").alias("first")))
     columns = ["doc_id", "line", "start", "end", "words"]
     marked = whole.select(*columns, "uid").join(repeated, "uid")
     paragraphs = marked.select(
         "doc_id", "line", "start", "end", F.col("words").cast("long").alias("n_words"), F.lit("paragraph").alias("kind"),
         F.col("keeper.doc_id").alias("component_id"), (F.col("keeper").eqNullSafe(F.struct("doc_id", "start"))).alias("kept"),
     )
-    pieces = table.where("piece >= 0").select(*columns, "piece", "uid")
-    copied = pieces.groupBy("uid").count().where("count > 1").select("uid")
-    same = pieces.join(copied, "uid")
-    keepers = same.groupBy("uid").agg(F.min(at).alias("keeper"))
-    same = same.join(keepers, "uid").withColumn("kept", F.col("keeper").eqNullSafe(F.struct("doc_id", "start")))
-    # pieces of a paragraph that is reported as a whole are left out
-    same = same.join(marked.select(F.col("doc_id").alias("d"), F.col("line").alias("l")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left_anti")
-    order = Window.partitionBy("doc_id", "line").orderBy("piece")
-    runs = same.dropDuplicates(["doc_id", "line", "start"]).withColumn("run", F.col("piece") - F.row_number().over(order))
-    joined = runs.groupBy("doc_id", "line", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("keeper.doc_id").alias("component_id"), F.min("kept").alias("kept")
-    )
-    passages = joined.where(F.col("n_words") >= WORDS).select("doc_id", "line", "start", "end", "n_words", F.lit("passage").alias("kind"), "component_id", "kept")
-    return paragraphs.union(passages)
+    return paragraphs.union(passages(docs, table, marked.withColumn("least", F.col("first").eqNullSafe(at)).withColumn("kept", F.col("keeper").eqNullSafe(at))))
+
+
+def passages(docs: DataFrame, table: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows of passages outside the repeated paragraphs ``marked`` (doc_id, start, words, uid, kept, least).
+
+    Of a run of WORDS words the first occurrence is its keeper, one outside of paragraphs that go if there is any.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seeds = table.where("piece = 0").select("doc_id", "uid")
+    copied = seeds.groupBy("uid").count().where("count > 1").select("uid")
+    wanted = seeds.join(copied, "uid").groupBy("doc_id").agg(F.collect_set("uid").alias("seeds"))
+    own = marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "words", "uid", "kept", "least")).alias("paragraphs"))
+    wanted = checkpointed(wanted.join(own.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d"))
+    asked = _with_text(texts, wanted).select("doc_id", "text", F.xxhash64("text").alias("t"), "seeds", "paragraphs")
+    schema = "doc_id long, t long, at int, uid long, goes boolean, covered boolean, lead int, tail int"
+    path = f"{shared_folder(spark)}/barloom-windows-{uuid.uuid4().hex}"
+    asked.mapInArrow(_window_batches, schema).write.option("compression", "zstd").parquet(path)
+    windows = spark.read.schema(schema).parquet(path)
+    place = F.struct("goes", "covered", "doc_id", "t", "at")
+    keepers = windows.groupBy("uid").agg(F.min(place).alias("keeper"), F.max(place).alias("last"), F.count("*").alias("n")).where("not (keeper <=> last)").drop("last")
+    found = windows.where("not covered").join(keepers, "uid").select("doc_id", "t", F.struct("at", "lead", "tail", "n", F.col("keeper.doc_id").alias("keeper"), F.col("keeper").eqNullSafe(place).alias("kept")).alias("w"))
+    spoken = checkpointed(found.groupBy("doc_id", "t").agg(F.collect_list("w").alias("windows")))
+    told = _with_text(texts, spoken).where(F.xxhash64("text") == F.col("t")).select("doc_id", "text", "windows")
+    out = told.mapInArrow(_passage_batches, "doc_id long, line int, start long, end long, n_words long, component_id long, kept boolean")
+    return out.distinct().select("doc_id", "line", "start", "end", "n_words", F.lit("passage").alias("kind"), "component_id", "kept")
+
+
+def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of documents joined with the texts of those; a null doc_id is one like others."""
+    ids = sized(rows.select(F.col("doc_id").alias("d")).distinct())
+    few = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    return few.join(rows.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")

@@ -119,3 +119,22 @@ def test_odd_repeats(spark):
     out = paragraphs.repeats(df)
     assert out.where(F.col("start") >= F.col("end")).isEmpty()
     assert paragraphs.repeats(df.limit(0)).isEmpty()
+
+
+def rows_of(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(paragraphs.repeats(df).collect(), key=lambda r: (r.doc_id, r.start))
+
+
+def wrapped(text, k):
+    words = text.split(" ")
+    return "\n".join(" ".join(words[i : i + k]) for i in range(0, len(words), k))
+
+
+def test_repeats_over_line_ends(spark):
+    copy, passage = prose(160, 5), prose(60, 6)
+    texts = {1: wrapped(copy, 15), 2: wrapped(copy, 16), 3: wrapped(prose(50, 7) + " " + passage, 11), 4: wrapped(passage + " " + prose(33, 8), 23), 5: wrapped(prose(200, 9), 12)}
+    got = rows_of(spark, texts)
+    assert [(r.doc_id, r.n_words, r.component_id, r.kept) for r in got] == [(1, 160, 1, True), (2, 160, 1, False), (3, 60, 3, True), (4, 60, 3, False)]
+    for r, want in zip(got, [copy, copy, passage, passage]):
+        assert texts[r.doc_id][r.start : r.end].split() == want.split() and texts[r.doc_id][: r.start].count("\n") == r.line
