@@ -138,3 +138,17 @@ def test_repeats_over_line_ends(spark):
     assert [(r.doc_id, r.n_words, r.component_id, r.kept) for r in got] == [(1, 160, 1, True), (2, 160, 1, False), (3, 60, 3, True), (4, 60, 3, False)]
     for r, want in zip(got, [copy, copy, passage, passage]):
         assert texts[r.doc_id][r.start : r.end].split() == want.split() and texts[r.doc_id][: r.start].count("\n") == r.line
+
+
+def test_passages_of_any_length_are_whole(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    random.Random(1).shuffle(words)
+    new = iter(words)
+    take = lambda n: " ".join(next(new) for _ in range(n))
+    texts, want = {}, {}
+    for k, n in enumerate([25, 26, 30, 40, 51, 51, 51, 55, 55, 60, 60, 82, 100] * 4):
+        passage = take(n)
+        for d in (2 * k, 2 * k + 1):
+            texts[d], want[d] = f"{take(70 + k)} {passage} {take(90)}", passage
+    got = rows_of(spark, texts)
+    assert [(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept) for r in got] == [(d, p, d % 2 == 0) for d, p in want.items()]
