@@ -152,3 +152,17 @@ def test_passages_of_any_length_are_whole(spark):
             texts[d], want[d] = f"{take(70 + k)} {passage} {take(90)}", passage
     got = rows_of(spark, texts)
     assert [(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept) for r in got] == [(d, p, d % 2 == 0) for d, p in want.items()]
+
+
+def test_each_passage_keeps_an_occurrence(spark):
+    a, b, c = prose(40, 61), prose(45, 62), prose(30, 63)
+    inside = lambda k, *parts: " ".join([prose(70, 700 + k), *parts, prose(80, 800 + k)])
+    texts = {1: inside(1, b), 2: inside(2, a, b), 3: inside(3, a), 4: inside(4, c, a, b), 5: inside(5, c, a), 6: wrapped(inside(6, b, c), 9)}
+    got = rows_of(spark, texts)
+    left = {d: t for d, t in texts.items()}
+    for r in sorted(got, key=lambda r: -r.start):
+        if not r.kept:
+            left[r.doc_id] = left[r.doc_id][: r.start] + left[r.doc_id][r.end :]
+    for part in (a, b, c):
+        assert sum(part in " ".join(t.split()) for t in left.values()) == 1
+    assert all(any(k.doc_id == r.component_id and k.kept for k in got) for r in got)
