@@ -8,9 +8,9 @@ stand elsewhere too, whatever the lines: of each such run the least hash of GRAM
 its seed; seeds that repeat point to the places where all runs are then counted exactly, and
 neighbouring repeated runs are joined.
 
-Equal paragraphs are one node from the start. A bucket of a band never pairs all with all:
-its members are compared with its least, and in a second round the classes that this leaves
-apart are compared by one member each, so pairs grow with the number of members.
+Equal paragraphs are one node from the start. Buckets of a band are compared in three rounds:
+its members are compared with its least, then the classes that this leaves apart by one
+member each, and at last all pairs that are not in one component by then.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from barloom.llm.components import connected_components
 from barloom.session import checkpointed, shared_folder, ship_package
@@ -333,6 +333,12 @@ def shingles(text: str) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+@F.pandas_udf(IntegerType())
+def _size(text: pd.Series) -> pd.Series:
+    """Number of different shingles."""
+    return pd.Series([len(shingles(t)) for t in text], dtype="int32")
+
+
 @F.pandas_udf(DoubleType())
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     def like(x: str, y: str) -> float:
@@ -370,13 +376,15 @@ def links(table: DataFrame, distinct: DataFrame) -> DataFrame:
 
     First each member of a bucket is compared with the bucket's least. What that leaves
     apart is compared again, one member for each class found so far: with the least and the
-    REACH before it in every bucket. Two classes that meet in a bucket of up to REACH + 2
-    classes are so compared in every case.
+    REACH before it in every bucket. These two rounds only make the third small: there every
+    two members of a bucket that are still in different components are compared, unless their
+    numbers of shingles alone keep them under LIKE. So components are those of all pairs that
+    meet in a bucket.
     """
     shared = checkpointed(shared_buckets(distinct))
     wanted = checkpointed(shared.select("uid").distinct())
     texts = table.where("piece = -1").select("uid", "text").join(sized(wanted), "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
-    texts = checkpointed(texts)
+    texts = checkpointed(texts.withColumn("n", _size("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
@@ -390,7 +398,15 @@ def links(table: DataFrame, distinct: DataFrame) -> DataFrame:
     near = ends.select("uid", F.array(F.first("uid").over(order), *[F.lag("uid", k).over(order) for k in range(1, REACH + 1)]).alias("other"))
     left = near.where(F.get("other", F.lit(0)) != F.col("uid")).select("uid", F.explode(F.array_distinct("other")).alias("b")).where("b is not null")
     two = verified(left.select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct())
-    return one.union(two)
+    classes = connected_components(one.union(two)).withColumnRenamed("node", "uid")
+    sizes = texts.select("uid", "n")
+    apart = shared.select("key", "uid").join(sizes, "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
+    mixed = apart.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    apart = checkpointed(apart.join(mixed, "key"))
+    other = apart.select("key", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = apart.withColumnRenamed("uid", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.least("n", "m") / F.greatest("n", "m") >= LIKE))
+    three = verified(rest.select("a", "b").distinct())
+    return one.union(two).union(three)
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -166,3 +166,25 @@ def test_each_passage_keeps_an_occurrence(spark):
     for part in (a, b, c):
         assert sum(part in " ".join(t.split()) for t in left.values()) == 1
     assert all(any(k.doc_id == r.component_id and k.kept for k in got) for r in got)
+
+
+def test_links_of_a_crowded_bucket_are_all_found(spark):
+    words = prose(120, 31).split(" ")
+    change = lambda w, *at: " ".join("other" + str(i) if i in at else x for i, x in enumerate(w))
+    texts = {1: " ".join(words), 2: change(words, 60), 90: change(words, 60, 20), 91: change(words, 60, 20, 100), 95: change(words, 60, 20, 100, 80)}
+    texts |= {i: prose(120, 4000 + i) for i in range(10, 60)}
+    sets = {u: paragraphs.shingles(t) for u, t in texts.items()}
+    want = {u: u for u in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= paragraphs.LIKE * len(sets[a] | sets[b]):
+                join(want, a, b)
+    table = spark.createDataFrame([(-1, u, t) for u, t in texts.items()], "piece int, uid long, text string")
+    distinct = spark.createDataFrame([(u, [7]) for u in texts], "uid long, bands array<long>")
+    found = paragraphs.links(table, distinct).collect()
+    assert all(len(sets[e.a] & sets[e.b]) >= paragraphs.LIKE * len(sets[e.a] | sets[e.b]) for e in found)
+    got = {u: u for u in texts}
+    for e in found:
+        join(got, e.a, e.b)
+    assert len(sets[1] & sets[95]) < paragraphs.LIKE * len(sets[1] | sets[95])
+    assert {u: root(got, u) for u in texts} == {u: root(want, u) for u in texts}
