@@ -23,11 +23,12 @@ from barloom.session import ship_package
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RAW_WITH_REFS = frozenset("title textarea".split())
-HIDDEN = frozenset("head title script style template noscript noembed noframes iframe object video audio canvas svg math datalist area param rp meta link base select".split())
+HIDDEN = frozenset("head title script style template noscript noembed noframes iframe object video audio canvas datalist area param rp meta link base annotation annotation-xml".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table menu dir fieldset form hr".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div section article aside header footer main nav address center details summary dialog figcaption legend li dt dd tr caption hgroup search optgroup option".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
 SCOPE = frozenset("html body table td th caption button object template".split())
+SVG_UNSEEN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements nested deeper become children of the last that fits, as browsers do.
@@ -36,15 +37,77 @@ DEPTH = 200
 WIDEST = 60
 #: Largest colspan, as in the standard.
 SPAN = 1000
+#: Pixels of the screen that media queries are asked about.
+SCREEN = (1280, 720)
 
 _TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<[!?/](?=[^a-zA-Z])[^>]*(?:>|\Z)|<!(?P<doctype>[^>]*)(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*(?=;|\Z)", re.I)
+_SHOWN = frozenset("block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group table-footer-group table-column table-column-group table-caption list-item contents flow-root flow ruby ruby-base ruby-text run-in math initial inherit unset -webkit-box -webkit-flex -ms-flexbox".split())
+_FEATURE = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([\d.]+)(px|em|rem)?\s*\)\Z", re.I)
 _UNSEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse)\b", re.I)
 _SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible\b", re.I)
-_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.I)
+_SELECTOR = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)\Z", re.I)
+
+
+def _display(declarations: str) -> list[tuple[bool, bool]]:
+    """Whether each valid ``display`` is important and whether it is none, in order."""
+    out = []
+    for m in _DISPLAY.finditer(declarations):
+        value = m[1].lower().split()
+        if value == ["none"] or all(v in _SHOWN for v in value):
+            out.append((bool(m[2]), value == ["none"]))
+    return out
+
+
+def _on_screen(queries: str) -> bool:
+    """Whether a list of media queries matches a screen of SCREEN; features other than its sizes do not."""
+
+    def one(query: str) -> bool:
+        words = query.strip().lower()
+        turned = words.startswith("not ")
+        words = re.sub(r"^(not|only)\s+", "", words)
+        met = True
+        for part in re.split(r"\s+and\s+", words):
+            m = _FEATURE.match(part.strip())
+            if m:
+                size = float(m[3].strip(".") or 0) * (1 if m[4] in (None, "px") else 16)
+                have = SCREEN[m[2] == "height"]
+                met = met and (have >= size if m[1] == "min" else have <= size)
+            else:
+                met = met and part.strip() in ("", "all", "screen", "(orientation: landscape)", "(orientation:landscape)")
+        return met != turned
+
+    return any(one(q) for q in queries.split(","))
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on a screen, in order."""
+    at, n = 0, len(css)
+    while at < n:
+        brace = css.find("{", at)
+        if brace < 0:
+            return
+        head = css[at:brace]
+        depth, to = 1, brace + 1
+        for m in re.compile(r"[{}]").finditer(css, to):
+            depth += 1 if m[0] == "{" else -1
+            to = m.end()
+            if not depth:
+                break
+        else:
+            to = n + 1
+        body = css[brace + 1 : to - 1]
+        at = to
+        head = head.rpartition(";")[2].rpartition("}")[2].strip()
+        if not head.startswith("@"):
+            yield head, re.sub(r"[^;{}]*\{[^{}]*\}", "", body)
+            continue
+        name, _, rest = head[1:].partition(" ") if "(" not in head.split(" ")[0] else (head[1 : head.index("(")], "", head[head.index("(") :])
+        name = name.lower()
+        if (name == "media" and _on_screen(rest)) or name == "layer" or (name == "supports" and not rest.strip().lower().startswith("not")):
+            yield from _rules(body)
 
 
 class Node:
@@ -90,6 +153,9 @@ class Builder:
             if m["end"]:
                 self.close(tag)
             else:
+                if m["attrs"].endswith("/") and tag not in ("svg", "math") and self.foreign():
+                    self.open[-1].children.append(Node(tag, _attributes(m["attrs"])))
+                    continue
                 self.start(tag, _attributes(m["attrs"]))
                 if tag in RAW or tag in RAW_WITH_REFS:
                     stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -100,6 +166,10 @@ class Builder:
                     self.open[-1].children.append(unescape(body) if tag in RAW_WITH_REFS else body)
                     self.pop()
 
+    def foreign(self) -> bool:
+        """Whether a drawing or formula is open, where a tag may close itself."""
+        return any(node.tag in ("svg", "math") for node in self.open)
+
     def text(self, s: str) -> None:
         if "&" in s:
             s = unescape(s)
@@ -275,30 +345,54 @@ class Page:
 
 class Renderer:
     def __init__(self, styles: list[str]) -> None:
-        self.none: set[tuple[str, str, str]] = set()
+        #: By tag, class or id that a selector needs: (weight, order), its other needs, and whether display is none.
+        self.rules: dict[str, list[tuple[tuple, str, frozenset[str], bool]]] = {}
         self.lists = 0
-        for rules in styles:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?(\*/|\Z)", "", rules, flags=re.S)):
-                if _NONE.search(body):
+        order = 0
+        for css in styles:
+            for selectors, body in _rules(re.sub(r"/\*.*?(\*/|\Z)|<!--|-->", "", css, flags=re.S)):
+                for important, none in _display(body):
+                    order += 1
                     for s in selectors.split(","):
                         m = _SELECTOR.match(s.strip())
                         if m and m[0]:
-                            self.none.add(((m[1] or "").lower(), m[2] or "", m[3] or ""))
+                            tag, marks = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
+                            ids = sum(k[0] == "#" for k in marks)
+                            weight = (important, False, ids, len(marks) - ids, tag != "*", order)
+                            self.rules.setdefault(marks[0] if marks else tag, []).append((weight, tag, frozenset(marks), none))
 
     def hidden(self, node: Node) -> bool:
-        """Whether the element is not displayed, with all it holds."""
+        """Whether the element is not displayed, with all it holds: the declaration of most weight decides, the last of equal ones."""
         tag, attrs = node.tag, node.attrs
-        if tag in HIDDEN:
-            return True
-        if attrs:
-            if "hidden" in attrs or (tag == "input" and attrs.get("type", "").lower() == "hidden") or _NONE.search(attrs.get("style", "")):
-                return True
-        if tag == "dialog" and "open" not in attrs:
+        if tag in HIDDEN or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
             return True
-        if self.none:
-            keys = [("", "")] + [(".", c) for c in attrs.get("class", "").split()] + [("#", attrs.get("id", ""))]
-            return any((t, kind, name) in self.none for kind, name in keys for t in (tag, "") if t or kind)
-        return False
+        best, none = None, "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+        if "style" in attrs:
+            for important, value in _display(attrs["style"]):
+                weight = (important, True, 0, 0, False, 0)
+                if best is None or weight >= best:
+                    best, none = weight, value
+        if self.rules:
+            marks = {f".{c}" for c in attrs.get("class", "").split()} | ({f"#{attrs['id']}"} if "id" in attrs else set())
+            for key in (tag, "*", *marks):
+                for weight, of, needs, value in self.rules.get(key, ()):
+                    if (of == "*" or of == tag) and needs <= marks and (best is None or weight >= best):
+                        best, none = weight, value
+        return none
+
+    def drawing(self, node: Node, page: Page, seen: bool) -> None:
+        """Labels of a drawing, set apart by spaces; other text in it is not shown."""
+        for child in node.children:
+            if isinstance(child, str) or child.tag in SVG_UNSEEN or self.hidden(child):
+                continue
+            style = child.attrs.get("style", "")
+            here = bool(_SEEN.search(style)) or (seen and not _UNSEEN.search(style))
+            if child.tag in ("text", "foreignobject"):
+                page.text(" ")
+                self.walk(child, page, False, here)
+                page.text(" ")
+            else:
+                self.drawing(child, page, here)
 
     def walk(self, node: Node, page: Page, pre: bool, seen: bool) -> None:
         for child in node.children:
@@ -322,6 +416,9 @@ class Renderer:
             if seen and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 page.text(node.attrs.get("value", ""))
             return
+        if tag == "svg":
+            self.drawing(node, page, seen)
+            return
         block = tag in BLOCKS
         listing = tag in ("ul", "ol", "menu", "dir")
         gap = 2 if tag in PARAGRAPHS and not (listing and self.lists) else 1
@@ -340,6 +437,12 @@ class Renderer:
                 if isinstance(child, Node) and child.tag == "summary":
                     self.element(child, page, pre, seen)
                     break
+        elif tag in ("option", "optgroup") and node.attrs.get("label"):
+            if seen:
+                page.text(node.attrs["label"])
+            if tag == "optgroup":
+                page.end(1)
+                self.walk(node, page, pre, seen)
         elif tag == "li":  # outside any list
             self.indented(node, page, "- ", "  ", pre, seen)
         else:

@@ -211,3 +211,23 @@ def test_media_rows(spark):
     bad = spark.createDataFrame([(1, b"nope"), (2, None)], "doc_id long, media binary")
     assert [(r.doc_id, r.clip, r.error) for r in media.clips(bad).collect()] == [(1, None, "not an AVI file")]
     assert many is not None
+
+
+def test_only_what_a_screen_hides_is_left_out():
+    page = lambda css, body: html_text.visible_text(f"<style>{css}</style>{body}")
+    assert page("@media print{main{display:none}}", "<main>a</main>") == "a"
+    assert page("@media (max-width:600px){.side{display:none}} p{margin:0}", "<div class=side>a</div>") == "a"
+    assert page("@media screen and (min-width:600px){.side{display:none}}", "<div class=side>a</div>b") == "b"
+    assert page("@font-face{x:y} @supports (a:b){@media all{.x{display:none}}} .y{display:none}", "<i class=x>a</i><i class=y>b</i>c") == "c"
+    assert page(".x{display:none} .x{display:block}", "<div class=x>a</div>") == "a"
+    assert page(".x{display:none!important} .x{display:block}", "<div class=x>a</div>b") == "b"
+    assert page("#i{display:block} .x{display:none}", "<div class=x id=i>a</div><div class=x>b</div>") == "a"
+    assert page(".x{display:none}", "<div class=x style='display: flex'>a</div><p hidden style='display:block'>b</p>") == "a\n\nb"
+    assert page(".a.b{display:none}", "<b class=a>x</b><b class='b a'>y</b>") == "x"
+
+
+def test_text_of_drawings_formulas_and_choices():
+    see = html_text.visible_text
+    assert see("<p>a<svg><defs/><title>t</title><path d='M0'/><g><text>one</text>\n<text>two <tspan>three</tspan></text></g><desc>d</desc></svg>b") == "a one two three b"
+    assert see("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.") == "let x=2."
+    assert see("<label>Size</label><select><option>small<option label=big>large<optgroup label=more><option>huge</select>end") == "Size\nsmall\nbig\nmore\nhuge\nend"
