@@ -67,7 +67,7 @@ def training_time(done: Column, ramp: Column) -> Column:
     return F.when(ramp == 0, done).otherwise((root - straight) / (2 * ramp))
 
 
-def mix(
+def _mixed(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
     ramps: tuple[float, ...] = (0.5, 0.0, -0.5),
@@ -76,19 +76,7 @@ def mix(
     seed: str = "mix",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Add to each row what the mix takes of it and when training meets it.
-
-    Needs ``doc_id``, ``text`` and ``source``; other columns pass through, and those called
-    like an added one are replaced. Adds ``size``, ``source_size``, ``target``, ``taken``
-    (long: words taken, repeats counted, at most ``cap`` times the size, summing to the
-    rounded target in each source), ``copies`` (passes that take half of it at least: how
-    often a mix of whole texts has it) and
-    ``position``, ``position_2`` (training time from 0 to 1 at which each pass meets it, null if not taken).
-
-    Null text: size 0, taken 0. Null source: a source of its own, last. Null or repeated
-    doc_ids: ordered by size and text hash, every row counted. Empty table: no rows.
-    Reruns agree, whatever the partitions.
-    """
+    """What ``mix`` says, and ``__times``: the training time of each pass, null if not taken."""
     made = ["size", "source_size", "target", "taken", "copies", "position", "position_2"]
     kept = [c for c in docs.columns if c not in made]
     order = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
@@ -121,18 +109,48 @@ def mix(
     taken = sum((F.col(f"__p{i}") for i in range(1, passes)), F.col("__p0"))
     whole = [((F.col(f"__p{i}") > 0) & (2 * F.col(f"__p{i}") >= F.col("size"))).cast("int") for i in range(passes)]
     copies = sum(whole[1:], whole[0])
-    second = position(F.col("__at") + F.col("source_size"), F.col("__p1")) if passes > 1 else F.lit(None).cast("double")
+    times = [position(F.col("__at") + i * F.col("source_size"), F.col(f"__p{i}")) for i in range(passes)]
+    second = times[1] if passes > 1 else F.lit(None).cast("double")
     return placed.select(
-        *kept, "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), position(F.col("__at"), F.col("__p0")).alias("position"), second.alias("position_2")
+        *kept, "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), times[0].alias("position"), second.alias("position_2"), F.array(*times).alias("__times")
     )
 
 
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    ramps: tuple[float, ...] = (0.5, 0.0, -0.5),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: str = "mix",
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """Add to each row what the mix takes of it and when training meets it.
+
+    Needs ``doc_id``, ``text`` and ``source``; other columns pass through, and those called
+    like an added one are replaced. Adds ``size``, ``source_size``, ``target``, ``taken``
+    (long: words taken, repeats counted, at most ``cap`` times the size, summing to the
+    rounded target in each source), ``copies`` (passes that take half of it at least: how
+    often a mix of whole texts has it) and
+    ``position``, ``position_2`` (training time from 0 to 1 at which each pass meets it, null if not taken).
+
+    Null text: size 0, taken 0. Null source: a source of its own, last. Null or repeated
+    doc_ids: ordered by size and text hash, every row counted. Empty table: no rows.
+    Reruns agree, whatever the partitions.
+    """
+    return _mixed(docs, weights, ramps, share, cap, seed, buckets).drop("__times")
+
+
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Range-sort by position over the cluster; rows not taken come last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
 
 
 def mixed_rows(docs: DataFrame, **schedule) -> DataFrame:
-    """The mix itself in whole texts: each row as often as the mix takes it, with its columns, whatever their names."""
-    mixed = mix(docs.select("doc_id", "text", "source", F.struct("*").alias("__row")), **schedule)
-    return mixed.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).select("__row.*")
+    """The mix itself in whole texts: each row as often as the mix takes it, with its columns, whatever their names.
+
+    Each copy stands at the training time of its own pass: the rows are range-sorted by it, then by doc_id.
+    """
+    mixed = _mixed(docs.select("doc_id", "text", "source", F.struct("*").alias("__row")), **schedule)
+    each = mixed.where("copies > 0").select("__row", "doc_id", F.posexplode(F.slice("__times", F.lit(1), F.col("copies"))).alias("__pass", "__time"))
+    return each.orderBy(F.col("__time").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "__pass").select("__row.*")

@@ -114,3 +114,15 @@ def test_anchors_match_passages(spark):
     shared = [r[0] for r in rows if r[1].endswith(rows[[x for x in range(40) if rows[x][1].count("\n")][0]][1].split("\n")[-1])]
     out = syncmers.positional_matches(df.where("doc_id = 0"), df)
     assert {r.doc_id for r in out.where("shift = 0").collect()} >= {0} and shared is not None
+
+
+def test_mixed_rows_are_in_training_order(spark):
+    df, _ = many(spark, 120)
+    for schedule in ({}, {"cap": 3.0, "share": 2.5}):
+        each = []
+        for r in mixing._mixed(df, **schedule).collect():
+            each += [(r["__times"][i], r.doc_id, i) for i in range(r.copies)]
+        assert each != sorted(each) and any(i for _, _, i in each)
+        assert [r.doc_id for r in mixing.mixed_rows(df, **schedule).collect()] == [d for _, d, _ in sorted(each)]
+    plain = [(r.position if i == 0 else r.position_2, r.doc_id) for r in mixing.mix(df).collect() for i in range(r.copies)]
+    assert [r.doc_id for r in mixing.mixed_rows(df).collect()] == [d for _, d in sorted(plain)]
