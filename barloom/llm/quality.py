@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and of its hashed
-character n-grams (LEAST to MOST, case kept); a softmax over the two classes follows. The
-vectors and the output layer are trained by stochastic gradient descent in numpy on the
-driver, on at most SAMPLE labelled rows. With the model fixed, the difference of the two
+A document is the average of learned vectors of its hashed words, of its hashed word
+bigrams and of its hashed character n-grams (LEAST to MOST, case kept); a softmax over the
+two classes follows. Of a word said again at once the repeats are one token of their own. The
+vectors and the output layer are trained by stochastic gradient descent in numpy in one
+executor task, on at most SAMPLE labelled rows. With the model fixed, the difference of the two
 outputs is the average of one number a bucket, so scoring needs that table only.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from barloom.llm.grams import blocks, char_grams, code_points, held_out, labelled_sample
+from barloom.llm.grams import blocks, char_grams, code_points, fitted, held_out, labelled_sample
 from barloom.session import ship_package
 
 #: Bound on the labelled rows that the fit reads.
@@ -26,10 +27,12 @@ SAMPLE = 5000
 LEAST, MOST, BITS, SIZE = 2, 4, 18, 16
 EPOCHS, RATE, SEED = 8, 0.5, 11
 THRESHOLD = 0.3
+#: Hash of the token that stands for a word equal to the one before it.
+AGAIN = np.uint64(0x5851F42D4C957F2D)
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, bucket) of every n-gram, one n after the other, of every word, and of every two words in a row."""
+    """(text number, bucket) of every n-gram, one n after the other, of every word, and of every two words in a row; a word that is said again at once is the token AGAIN."""
     chars, ends = code_points(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
     for n, bucket in char_grams(chars, LEAST, MOST, BITS):
@@ -49,10 +52,10 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         back = np.cumprod(np.full(len(chars) + 1, inverse, np.uint64))
         h = (total[end - 1] - total[start]) * back[start]
         doc = owner[start]
-        yield doc, ((h * step) >> np.uint64(64 - BITS)).astype(np.uint32)
-        # two words are hashed by their difference: a word said twice is the same feature whatever the word
         same = doc[1:] == doc[:-1]
-        yield doc[1:][same], (((h[1:] ^ h[:-1]) * step + step) >> np.uint64(64 - BITS)).astype(np.uint32)[same]
+        h[1:][same & (h[1:] == h[:-1])] = AGAIN
+        yield doc, ((h * step) >> np.uint64(64 - BITS)).astype(np.uint32)
+        yield doc[1:][same], (((h[:-1] * np.uint64(0xBF58476D1CE4E5B9) + h[1:]) * step) >> np.uint64(64 - BITS)).astype(np.uint32)[same]
 
 
 @dataclass
@@ -127,7 +130,7 @@ def scored(docs: DataFrame, model: SubwordModel, column: str = "score") -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SubwordModel:
-    return fit(labelled_sample(docs, labels, "quality", sample))
+    return fitted(labelled_sample(docs, labels, "quality", sample), fit)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

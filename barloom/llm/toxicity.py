@@ -4,7 +4,7 @@ Features are the hashed character n-grams (LEAST to MOST, lower case) that a tex
 log-count ratio of a feature is the log of its smoothed share among the features of toxic
 texts over that among the others. Features that few texts have, or whose ratio is small,
 are left out; the others enter a logistic regression with their ratio as value. The fit is
-on the driver, on at most SAMPLE labelled rows.
+one executor task on at most SAMPLE labelled rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from barloom.llm.grams import blocks, char_grams, code_points, held_out, labelled_sample
+from barloom.llm.grams import blocks, char_grams, code_points, fitted, held_out, labelled_sample
 from barloom.session import ship_package
 
 #: Bound on the labelled rows that the fit reads.
@@ -121,7 +121,7 @@ def scored(docs: DataFrame, model: NbLinear, column: str = "score") -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NbLinear:
-    return fit(labelled_sample(docs, labels, "toxic", sample))
+    return fitted(labelled_sample(docs, labels, "toxic", sample), fit)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,11 +34,19 @@ def test_held_out_rows(spark, middle, name, label, least):
 
 def test_samples_are_bounded_and_leave_out(spark, middle):
     docs, labels = spark.read.parquet(f"{middle}/documents.parquet"), spark.read.parquet(f"{middle}/labels.parquet")
-    some = grams.labelled_sample(docs, labels, "toxic", 50)
-    assert len(some) == 50
-    every = grams.labelled_sample(docs, labels.unionByName(labels), "toxic", 10_000)
-    want = labels.where(~grams.held_out(F.col("doc_id"))).count()
-    assert len(every) == want
+    assert grams.labelled_sample(docs, labels, "toxic", 50).count() == 50
+    every = grams.labelled_sample(docs, labels.unionByName(labels), "toxic", 10_000).cache()
+    assert every.count() == labels.where(~grams.held_out(F.col("doc_id"))).count()
+    half = every.agg(F.sum(F.char_length("text"))).first()[0] // 2
+    assert half * 0.9 < grams.labelled_sample(docs, labels, "toxic", 10_000, half).agg(F.sum(F.char_length("text"))).first()[0] <= half
+    every.unpersist()
+
+
+def test_fits_are_the_same_wherever_they_run(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = sorted(grams.labelled_sample(docs, labels, "toxic", 80).collect())
+    there, here = toxicity.train(docs, labels, 80), toxicity.fit([(r.text, r.y) for r in rows])
+    assert there.bias == here.bias and (there.weights == here.weights).all()
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
