@@ -5,8 +5,9 @@ Paragraphs (lines of WORDS words or more) are compared by the Jaccard likeness o
 paragraphs that meet in a band are paired, every pair is verified on the exact shingle sets,
 and components of verified links are the classes. Passages are runs of WORDS words or more that
 stand elsewhere too, whatever the lines: of each such run the least hash of GRAM words is
-its seed; seeds that repeat point to the places where all runs are then counted exactly, and
-neighbouring repeated runs are joined.
+its seed; neighbouring runs with one seed are a block, and blocks whose seeds repeat are
+compared, whole where they are equal and run by run where they differ. Neighbouring repeated
+runs are joined.
 
 Equal paragraphs are one node from the start. Buckets of a band are compared in three rounds:
 its members are compared with its least, then the classes that this leaves apart by one
@@ -52,7 +53,9 @@ _G = _RNG.integers(1, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64
 UNITS = pa.schema(
     [("doc_id", pa.int64()), ("line", pa.int32()), ("piece", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32()), ("uid", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())]
 )
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("at", pa.int32()), ("uid", pa.int64()), ("goes", pa.bool_()), ("covered", pa.bool_()), ("lead", pa.int32()), ("tail", pa.int32())])
+SEEDED = pa.schema(
+    [("doc_id", pa.int64()), ("t", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("seed", pa.int64()), ("block", pa.int64()), ("goes", pa.bool_()), ("covered", pa.bool_()), ("windows", pa.list_(pa.int64()))]
+)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -202,58 +205,83 @@ def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _seed_rows(ids, t)
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of WORDS words whose seed repeats, from (doc_id, text, t, seeds, paragraphs): one row a word that starts one.
+class Marks:
+    """Which words of a block of documents stand in repeated paragraphs (start, words, uid, kept, least), one list a document."""
 
-    Those inside a paragraph that repeats word for word are left to its first occurrence.
-    """
-    for ids, texts, batch in _blocks(batches):
-        t = Tokens(texts)
-        _, least, whole = t.least_grams()
-        bounds = np.searchsorted(t.doc, np.arange(len(ids) + 1))
+    def __init__(self, t: Tokens, bounds: np.ndarray, paragraphs: pa.Array) -> None:
         n = len(t.word)
-        covered, dropped, stays, copy_end = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
-        wanted = np.zeros(len(least), bool)
-        seeds, paragraphs = batch.column(3), batch.column(4)
-        for k in range(len(ids)):
+        self.covered, self.dropped, self.stays = (np.zeros(n, bool) for _ in range(3))
+        #: End of the paragraph a word is in, if that repeats an earlier one word for word.
+        self.copy_end = np.zeros(n, np.int64)
+        for k, own in enumerate(paragraphs.to_pylist()):
             lo, hi = int(bounds[k]), int(bounds[k + 1])
-            last = min(hi, len(least))
-            if last > lo:
-                wanted[lo:last] = np.isin(least[lo:last].view(np.int64), np.asarray(seeds[k].values.to_numpy(zero_copy_only=False)))
-            own = paragraphs[k].as_py() or []
             starts = t.place[t.start[lo:hi]] - 1 - t.before[k] if own else None
-            for p in own:
+            for p in own or ():
                 a = lo + int(np.searchsorted(starts, p["start"]))
                 b = a + p["words"]
                 # rows that repeat a doc_id may have another text: the paragraph must be in this one
                 if b > hi or t.uid(np.array([a]), np.array([b]))[0] != p["uid"]:
                     continue
-                covered[a:b] = True
-                dropped[a:b] |= not p["kept"]
-                stays[a:b] |= p["kept"]
+                self.covered[a:b] = True
+                self.dropped[a:b] |= not p["kept"]
+                self.stays[a:b] |= p["kept"]
                 if not p["least"]:
-                    copy_end[a:b] = b
+                    self.copy_end[a:b] = b
+
+    def bare_before(self) -> np.ndarray:
+        """Words before each that no repeated paragraph has."""
+        return np.concatenate([[0], np.cumsum(~self.covered)])
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks whose seed repeats, from (doc_id, text, t, seeds, paragraphs).
+
+    A block is a row of neighbouring runs of WORDS words with one least hash: ``at`` is the
+    first word, ``size`` the number of runs, ``block`` the hash of all its words, ``windows``
+    those of the runs. A block inside a paragraph that repeats word for word is left to the
+    paragraph's first occurrence.
+    """
+    for ids, texts, batch in _blocks(batches):
+        t = Tokens(texts)
+        _, least, whole = t.least_grams()
         if not len(least):
             continue
-        at = np.flatnonzero(wanted & whole & (copy_end[: len(least)] < np.arange(len(least)) + WORDS))
-        bare = np.concatenate([[0], np.cumsum(~covered)])
-        goes = np.concatenate([[0], np.cumsum(dropped)])
-        place = np.arange(n)
-        after = np.minimum.accumulate(np.where(stays, n, place)[::-1])[::-1]
-        ahead = np.maximum.accumulate(np.where(stays, -1, place))
+        bounds = np.searchsorted(t.doc, np.arange(len(ids) + 1))
+        marks = Marks(t, bounds, batch.column(4))
+        wanted = np.zeros(len(least), bool)
+        for k, seeds in enumerate(batch.column(3)):
+            lo, hi = int(bounds[k]), min(int(bounds[k + 1]), len(least))
+            if hi > lo:
+                wanted[lo:hi] = np.isin(least[lo:hi].view(np.int64), np.asarray(seeds.values.to_numpy(zero_copy_only=False)))
+        wanted &= whole
+        before = np.concatenate([[False], wanted[:-1] & (least[1:] == least[:-1]) & (t.doc[: len(least)][1:] == t.doc[: len(least)][:-1])])
+        first = np.flatnonzero(wanted & ~before)
+        if not len(first):
+            continue
+        number = np.cumsum(wanted & ~before) - 1  # of the block that a wanted window is in
+        size = np.bincount(number[wanted], minlength=len(first))
+        alone = marks.copy_end[: len(least)] < np.arange(len(least)) + WORDS
+        keep = np.flatnonzero(np.bincount(number[wanted], alone[wanted], len(first)) > 0)
+        first, size = first[keep], size[keep]
+        end = first + size + WORDS - 1
+        bare, goes = marks.bare_before(), np.concatenate([[0], np.cumsum(marks.dropped)])
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])
         keys = batch.column(2).to_numpy(zero_copy_only=False)
+        of = t.doc[first]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([ids[i] for i in t.doc[at].tolist()], pa.int64()),
-                pa.array(keys[t.doc[at]].astype(np.int64)),
-                pa.array((at - bounds[t.doc[at]]).astype(np.int32)),
-                pa.array(t.uid(at, at + WORDS)),
-                pa.array(goes[at + WORDS] > goes[at]),
-                pa.array(bare[at + WORDS] == bare[at]),
-                pa.array(np.minimum(after[at] - at, WORDS).astype(np.int32)),
-                pa.array(np.minimum(at + WORDS - 1 - ahead[at + WORDS - 1], WORDS).astype(np.int32)),
+                pa.array([ids[i] for i in of.tolist()], pa.int64()),
+                pa.array(keys[of].astype(np.int64)),
+                pa.array((first - bounds[of]).astype(np.int32)),
+                pa.array(size.astype(np.int32)),
+                pa.array(least[first].view(np.int64)),
+                pa.array(t.uid(first, end)),
+                pa.array(goes[end] > goes[first]),
+                pa.array(bare[end] == bare[first]),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(t.uid(at, at + WORDS))),
             ],
-            schema=WINDOWS,
+            schema=SEEDED,
         )
 
 
@@ -305,12 +333,38 @@ def _runs(found: list[dict]) -> list[tuple[int, int, int | None, bool]]:
     return [tuple(run[:4]) for run in runs if run[0] < run[1]]
 
 
+def _repeated_windows(blocks: list[dict], marks: Marks, lo: int, hi: int) -> list[dict]:
+    """Repeated windows of a document (words [lo, hi) of ``marks``), from its blocks (at, size, t, found).
+
+    ``found`` has the windows ``k`` of a block, or -1 for all, with their number of places and
+    their keeper's. Those inside repeated paragraphs are left to the paragraphs' rows, but for a
+    keeper in a paragraph that goes.
+    """
+    covered, stays = marks.covered[lo:hi], marks.stays[lo:hi]
+    bare, gone = np.concatenate([[0], np.cumsum(~covered)]), np.concatenate([[0], np.cumsum(marks.dropped[lo:hi])])
+    place = np.arange(hi - lo)
+    after = np.minimum.accumulate(np.where(stays, hi - lo, place)[::-1])[::-1]
+    ahead = np.maximum.accumulate(np.where(stays, -1, place))
+    out = []
+    for b in blocks:
+        for f in b["found"]:
+            for k in range(b["size"]) if f["k"] < 0 else (f["k"],):
+                at, last = b["at"] + k, b["at"] + k + WORDS - 1
+                kept = f["keeper_t"] == b["t"] and f["keeper"] == b["doc_id"] and f["keeper_at"] + (k if f["k"] < 0 else 0) == at
+                if bare[at + WORDS] == bare[at] and not (kept and gone[at + WORDS] > gone[at]):
+                    continue
+                out.append({"at": at, "lead": min(int(after[at]) - at, WORDS), "tail": min(last - int(ahead[last]), WORDS), "n": f["n"], "keeper": f["keeper"], "kept": kept})
+    return out
+
+
 def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of documents, from (doc_id, text, windows)."""
+    """Passages of documents, from (doc_id, text, blocks, paragraphs)."""
     for ids, texts, batch in _blocks(batches):
         t = Tokens(texts)
-        bounds = np.searchsorted(t.doc, np.arange(len(ids)))
-        spans = [(k, *run) for k, found in enumerate(batch.column(2).to_pylist()) for run in _runs(found)]
+        bounds = np.searchsorted(t.doc, np.arange(len(ids) + 1))
+        marks = Marks(t, bounds, batch.column(3))
+        found = [_repeated_windows(blocks, marks, int(bounds[k]), int(bounds[k + 1])) for k, blocks in enumerate(batch.column(2).to_pylist())]
+        spans = [(k, *run) for k, windows in enumerate(found) for run in _runs(windows)]
         if not spans:
             continue
         of, a, b = (np.array([x[j] for x in spans], np.int64) for j in range(3))
@@ -443,29 +497,52 @@ def repeats(docs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, table: DataFrame, marked: DataFrame) -> DataFrame:
     """Rows of passages outside the repeated paragraphs ``marked`` (doc_id, start, words, uid, kept, least).
 
-    Of a run of WORDS words the first occurrence is its keeper, one outside of paragraphs that go if there is any.
+    Of a run of WORDS words the first occurrence is its keeper, one outside of paragraphs that go
+    if there is any. Runs are counted by blocks: where all blocks with a seed are equal, one
+    row stands for their runs; where they differ, the runs of each different block are counted
+    once, with its number of places.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seeds = table.where("piece = 0").select("doc_id", "uid")
     copied = seeds.groupBy("uid").count().where("count > 1").select("uid")
     wanted = seeds.join(copied, "uid").groupBy("doc_id").agg(F.collect_set("uid").alias("seeds"))
-    own = marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "words", "uid", "kept", "least")).alias("paragraphs"))
-    wanted = checkpointed(wanted.join(own.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d"))
+    own = marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "words", "uid", "kept", "least")).alias("paragraphs")).withColumnRenamed("doc_id", "d")
+    own = checkpointed(own)
+    wanted = checkpointed(wanted.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d"))
     asked = _with_text(texts, wanted).select("doc_id", "text", F.xxhash64("text").alias("t"), "seeds", "paragraphs")
-    schema = "doc_id long, t long, at int, uid long, goes boolean, covered boolean, lead int, tail int"
-    path = f"{shared_folder(spark)}/barloom-windows-{uuid.uuid4().hex}"
-    asked.mapInArrow(_window_batches, schema).write.option("compression", "zstd").parquet(path)
-    windows = spark.read.schema(schema).parquet(path)
-    place = F.struct("goes", "covered", "doc_id", "t", "at")
-    keepers = windows.groupBy("uid").agg(F.min(place).alias("keeper"), F.max(place).alias("last"), F.count("*").alias("n")).where("not (keeper <=> last)").drop("last")
-    found = windows.where("not covered").join(keepers, "uid").select("doc_id", "t", F.struct("at", "lead", "tail", "n", F.col("keeper.doc_id").alias("keeper"), F.col("keeper").eqNullSafe(place).alias("kept")).alias("w"))
-    spoken = checkpointed(found.groupBy("doc_id", "t").agg(F.collect_list("w").alias("windows")))
-    told = _with_text(texts, spoken).where(F.xxhash64("text") == F.col("t")).select("doc_id", "text", "windows")
+    schema = "doc_id long, t long, at int, size int, seed long, block long, goes boolean, covered boolean, windows array<long>"
+    path = f"{shared_folder(spark)}/barloom-blocks-{uuid.uuid4().hex}"
+    asked.mapInArrow(_block_batches, schema).write.option("compression", "zstd").parquet(path)
+    blocks = spark.read.schema(schema).parquet(path)
+    spoken = checkpointed(repeated_blocks(blocks))
+    told = spoken.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    told = _with_text(texts, told).where(F.xxhash64("text") == F.col("t")).select("doc_id", "text", "blocks", "paragraphs")
     out = told.mapInArrow(_passage_batches, "doc_id long, line int, start long, end long, n_words long, component_id long, kept boolean")
     return out.distinct().select("doc_id", "line", "start", "end", "n_words", F.lit("passage").alias("kind"), "component_id", "kept")
 
 
+def repeated_blocks(blocks: DataFrame) -> DataFrame:
+    """(doc_id, t, blocks) of documents that have runs which stand at two places or more, outside of repeated paragraphs.
+
+    Each block (doc_id, t, at, size, found) lists its repeated runs ``k`` (-1: all) with the number of places and
+    the keeper's. Runs whose places are all in repeated paragraphs are left out: no row would report them.
+    """
+    place = F.struct("goes", "covered", "doc_id", "t", "at")
+    seeds = blocks.groupBy("seed").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min(place).alias("p0"), F.max(place).alias("p1"), F.count("*").alias("n"), F.min("covered").alias("inside"))
+    seeds = checkpointed(seeds.where("not inside and not (p0 <=> p1)"))
+    found = lambda k, p: F.struct(k.cast("int").alias("k"), F.col("n"), p["doc_id"].alias("keeper"), p["t"].alias("keeper_t"), p["at"].alias("keeper_at"))
+    even = seeds.where("b0 = b1").select(F.col("b0").alias("block"), F.array(found(F.lit(-1), F.col("p0"))).alias("found"))
+    uneven = seeds.where("b0 <> b1").select("seed")
+    different = blocks.join(uneven, "seed").groupBy("block").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.count("*").alias("n"), F.first("windows").alias("windows"))
+    runs = checkpointed(different).select("block", "p0", "p1", "n", F.posexplode("windows").alias("k", "run"))
+    shifted = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("goes", "covered", "doc_id", "t")], (F.col(f"{p}.at") + F.col("k")).alias("at"))
+    counted = runs.groupBy("run").agg(F.min(shifted("p0")).alias("p0"), F.max(shifted("p1")).alias("p1"), F.sum("n").alias("n")).where("not (p0 <=> p1)").drop("p1")
+    met = runs.select("block", "k", "run").join(counted, "run").groupBy("block").agg(F.collect_list(found(F.col("k"), F.col("p0"))).alias("found"))
+    own = blocks.where("not covered").select("doc_id", "t", "at", "size", "block").join(even.union(met), "block")
+    return own.groupBy("doc_id", "t").agg(F.collect_list(F.struct("doc_id", "t", "at", "size", "found")).alias("blocks"))
+
+
 def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` of documents joined with the texts of those; a null doc_id is one like others."""
     ids = sized(rows.select(F.col("doc_id").alias("d")).distinct())
