@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches stay this small so that a batch of very long texts fits a Python worker.
 ARROW_ROWS = 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -47,21 +50,45 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Only a session that names none (tests, notebooks) gets a folder of its own.
+    A local session that names none (tests, notebooks) gets a folder of its own; on a cluster
+    that raises, for executors do not see the driver's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_barloom_folder", None):
         sc._barloom_folder = tempfile.mkdtemp(prefix="barloom-shared-")
     return sc._barloom_folder
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is not read any more, on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it has ended, not when the driver happens to collect its garbage.
+
+    For steps whose whole result is written to the shared folder: nothing reads their shuffles later.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    with freed_shuffles(spark):
+        return df.checkpoint()
