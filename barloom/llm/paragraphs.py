@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 from barloom.llm.components import connected_components
-from barloom.session import checkpointed, shared_folder, ship_package
+from barloom.session import checkpointed, freed_shuffles, shared_folder, ship_package
 
 #: Least words of a reported passage, and likeness of near copies.
 WORDS = 25
@@ -408,14 +408,20 @@ def sized(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to the shared folder and read back by column."""
+    with freed_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unit_table(docs: DataFrame) -> DataFrame:
     """Units of all documents, written once to the shared folder and read back by column."""
     spark = docs.sparkSession
     ship_package(spark)
     path = f"{shared_folder(spark)}/barloom-units-{uuid.uuid4().hex}"
     schema = "doc_id long, line int, piece int, start long, end long, words int, uid long, bands array<long>, text string"
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_unit_batches, schema).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_unit_batches, schema), path)
 
 
 def shared_buckets(distinct: DataFrame) -> DataFrame:
@@ -513,8 +519,7 @@ def passages(docs: DataFrame, table: DataFrame, marked: DataFrame) -> DataFrame:
     asked = _with_text(texts, wanted).select("doc_id", "text", F.xxhash64("text").alias("t"), "seeds", "paragraphs")
     schema = "doc_id long, t long, at int, size int, seed long, block long, goes boolean, covered boolean, windows array<long>"
     path = f"{shared_folder(spark)}/barloom-blocks-{uuid.uuid4().hex}"
-    asked.mapInArrow(_block_batches, schema).write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(schema).parquet(path)
+    blocks = written(asked.mapInArrow(_block_batches, schema), path)
     spoken = checkpointed(repeated_blocks(blocks))
     told = spoken.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
     told = _with_text(texts, told).where(F.xxhash64("text") == F.col("t")).select("doc_id", "text", "blocks", "paragraphs")
