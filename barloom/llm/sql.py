@@ -27,7 +27,8 @@ def op10() -> str:
 
 
 def _tokens(text: str) -> str:
-    return f"regexp_extract_all(lower({text}), '{WORD}{{1,12}}')"
+    runs = f"regexp_extract_all(lower({text}), '{WORD}+')"
+    return f"flatten(list_transform({runs}, lambda w: CASE WHEN length(w) <= {syncmers.LONG} THEN [w] ELSE regexp_extract_all(w, '(?s).') END))"
 
 
 def _runs(t: str) -> str:

@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers (DataFrame functions only).
 
-A text is read as tokens (lower-cased runs without white space, cut every twelve code
-points so that unspaced text has tokens too). A k-mer is K tokens in a row; its inner
+A text is read as tokens: lower-cased runs without white space, of which those over LONG
+code points (unspaced scripts, encoded data) are one token a code point, so that where a token
+starts never hangs on what stands far before it. A k-mer is K tokens in a row; its inner
 substrings are the S-token runs in it, ordered by their MD5. The k-mer is a closed syncmer,
 an anchor, if the smallest inner run is its first or its last. Whether a k-mer is chosen
 depends on its own tokens only, so equal passages give equal anchors wherever they stand.
@@ -21,7 +22,10 @@ S = 3
 K = 2 * S
 #: Anchors that a fingerprint keeps: likeness has a standard error of at most 0.5 / 8.
 SKETCH = 64
-TOKEN = r"[^\x20\x09-\x0D]{1,12}"
+#: Code points of the longest run that is one token.
+LONG = 32
+_CHAR = r"[^\x20\x09-\x0D]"
+TOKEN = rf"(?<!{_CHAR}){_CHAR}{{1,{LONG}}}+(?!{_CHAR})|{_CHAR}"
 #: Hex digits of each of the two runs in an anchor's name.
 HALF = 6
 
