@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: A word of the size: a run of anything but space, tab, newlines, vertical tab, form feed.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets a source; a bucket is what one task orders.
-BUCKETS = 1024
+#: Rows of a source that a bucket, which one task orders, has on average at most; and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
 
 
 def words(text: Column) -> Column:
@@ -74,9 +74,11 @@ def _mixed(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """What ``mix`` says, and ``__times``: the training time of each pass, null if not taken."""
+    # the order of the rows does not hang on the number of buckets: a bucket is a range of it
+    buckets = buckets or max(LEAST_BUCKETS, -(-docs.count() // BUCKET_ROWS))
     made = ["size", "source_size", "target", "taken", "copies", "position", "position_2"]
     kept = [c for c in docs.columns if c not in made]
     order = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
@@ -123,7 +125,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add to each row what the mix takes of it and when training meets it.
 
