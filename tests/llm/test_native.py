@@ -1,6 +1,7 @@
 """Mixing and fingerprints."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import mixing, queries, syncmers
-from tests.llm.helpers import many, odd_docs
+from tests.llm.helpers import many, odd_docs, prose
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -76,7 +77,7 @@ def test_positions_invert_demand():
 
 
 def plain_sketch(text):
-    t = re.findall(r"[^\x20\x09-\x0D]{1,12}", (text or "").lower())
+    t = [x for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()) for x in ([w] if len(w) <= 32 else w)]
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     if len(t) < 6:
         return [md5(" ".join(t))[:12]] if t else []
@@ -110,10 +111,30 @@ def test_fingerprints_of_odd_tables(spark):
 
 
 def test_anchors_match_passages(spark):
-    df, rows = many(spark, 40)
-    shared = [r[0] for r in rows if r[1].endswith(rows[[x for x in range(40) if rows[x][1].count("\n")][0]][1].split("\n")[-1])]
-    out = syncmers.positional_matches(df.where("doc_id = 0"), df)
-    assert {r.doc_id for r in out.where("shift = 0").collect()} >= {0} and shared is not None
+    passage = prose(60, 9)
+    texts = {0: f"{prose(10, 1)} {passage} {prose(20, 2)}", 1: f"{prose(35, 3)} {passage}", 2: prose(80, 4), 3: passage}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    best = {}
+    for r in syncmers.positional_matches(df.where("doc_id = 0"), df).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, r), r, key=lambda r: r.n_anchors)
+    assert {d: r.shift for d, r in best.items()} == {0: 0, 1: 25, 3: -10}
+    for d in (1, 3):
+        assert 10 <= best[d].query_from < 15 and 65 < best[d].query_to < 70 and best[d].n_anchors > 15
+
+
+@pytest.mark.parametrize("kind", ["spaced", "unspaced"])
+def test_an_insertion_changes_only_anchors_near_it(spark, kind):
+    rng = random.Random(5)
+    text = prose(700, 5) if kind == "spaced" else "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    mark = "new " if kind == "spaced" else "\u4e00"
+    edits = [mark + text, text[:900] + mark + text[900:], text]
+    df = spark.createDataFrame(list(enumerate(edits)), "doc_id long, text string")
+    names = {}
+    for r in syncmers.anchor_rows(df).collect():
+        names.setdefault(r.doc_id, set()).add(r.name)
+    assert len(names[2]) > 150
+    for d in (0, 1):
+        assert len(names[d] & names[2]) >= 0.95 * len(names[2])
 
 
 def test_mixed_rows_are_in_training_order(spark):
