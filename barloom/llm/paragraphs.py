@@ -22,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 from barloom.llm.components import connected_components
-from barloom.session import checkpointed, freed_shuffles, shared_folder, ship_package
+from barloom.session import checkpointed, forget, freed_shuffles, shared_folder, ship_package
 
 #: Least words of a reported passage, and likeness of near copies.
 WORDS = 25
@@ -408,20 +408,27 @@ def sized(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to the shared folder and read back by column."""
-    with freed_shuffles(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Steps:
+    """Tables between the steps, each written to the shared folder, read back by column, and dropped when no later step needs it."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/barloom-paragraphs-{uuid.uuid4().hex}"
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """Units of all documents, written once to the shared folder and read back by column."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    path = f"{shared_folder(spark)}/barloom-units-{uuid.uuid4().hex}"
+    def written(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        with freed_shuffles(self.spark):
+            df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def dropped(self, *names: str) -> None:
+        for name in names:
+            forget(self.spark, f"{self.folder}/{name}")
+
+
+def unit_table(docs: DataFrame, steps: Steps) -> DataFrame:
+    """Units of all documents, paragraphs and seeds in folders of their own."""
+    ship_package(docs.sparkSession)
     schema = "doc_id long, line int, piece int, start long, end long, words int, uid long, bands array<long>, text string"
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_unit_batches, schema), path)
+    return steps.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_unit_batches, schema), "units", "piece")
 
 
 def shared_buckets(distinct: DataFrame) -> DataFrame:
@@ -431,7 +438,7 @@ def shared_buckets(distinct: DataFrame) -> DataFrame:
     return keyed.select("key", "uid", F.min("uid").over(of_key).alias("first"), F.max("uid").over(of_key).alias("last")).where("first <> last").drop("last")
 
 
-def links(table: DataFrame, distinct: DataFrame) -> DataFrame:
+def links(table: DataFrame, distinct: DataFrame, steps: Steps) -> DataFrame:
     """Verified edges (a, b) between paragraph ids: exact Jaccard of LIKE or more.
 
     First each member of a bucket is compared with the bucket's least. What that leaves
@@ -441,10 +448,10 @@ def links(table: DataFrame, distinct: DataFrame) -> DataFrame:
     numbers of shingles alone keep them under LIKE. So components are those of all pairs that
     meet in a bucket.
     """
-    shared = checkpointed(shared_buckets(distinct))
-    wanted = checkpointed(shared.select("uid").distinct())
+    shared = steps.written(shared_buckets(distinct), "buckets")
+    wanted = steps.written(shared.select("uid").distinct(), "wanted")
     texts = table.where("piece = -1").select("uid", "text").join(sized(wanted), "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
-    texts = checkpointed(texts.withColumn("n", _size("text")))
+    texts = steps.written(texts.withColumn("n", _size("text")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
@@ -462,10 +469,11 @@ def links(table: DataFrame, distinct: DataFrame) -> DataFrame:
     sizes = texts.select("uid", "n")
     apart = shared.select("key", "uid").join(sizes, "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
     mixed = apart.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    apart = checkpointed(apart.join(mixed, "key"))
+    apart = steps.written(apart.join(mixed, "key"), "apart")
     other = apart.select("key", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     rest = apart.withColumnRenamed("uid", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.least("n", "m") / F.greatest("n", "m") >= LIKE))
     three = verified(rest.select("a", "b").distinct())
+    steps.dropped("buckets", "wanted", "texts", "apart")
     return one.union(two).union(three)
 
 
@@ -483,24 +491,26 @@ def repeats(docs: DataFrame) -> DataFrame:
     Null and empty texts have no passages; null doc_ids sort first; rows that repeat a
     doc_id are one document. Empty table: no rows.
     """
-    table = unit_table(docs)
+    steps = Steps(docs.sparkSession)
+    table = unit_table(docs, steps)
     at = F.struct("doc_id", "start")
     whole = table.where("piece = -1")
-    distinct = checkpointed(whole.groupBy("uid").agg(F.min(at).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    found = connected_components(links(table, distinct.select("uid", "bands")))
+    distinct = steps.written(whole.groupBy("uid").agg(F.min(at).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")), "distinct")
+    found = connected_components(links(table, distinct.select("uid", "bands"), steps))
     named = distinct.drop("bands").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid"))
     classes = named.groupBy("c").agg(F.min("least").alias("keeper"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    repeated = checkpointed(named.select("uid", "c", "least").join(classes, "c").select("uid", "keeper", F.col("least").alias("first")))
+    repeated = named.select("uid", "c", "least").join(classes, "c").select("uid", "keeper", F.col("least").alias("first"))
     columns = ["doc_id", "line", "start", "end", "words"]
-    marked = whole.select(*columns, "uid").join(repeated, "uid")
+    marked = steps.written(whole.select(*columns, "uid").join(repeated, "uid"), "marked")
+    steps.dropped("distinct", "units/piece=-1")
     paragraphs = marked.select(
         "doc_id", "line", "start", "end", F.col("words").cast("long").alias("n_words"), F.lit("paragraph").alias("kind"),
         F.col("keeper.doc_id").alias("component_id"), (F.col("keeper").eqNullSafe(F.struct("doc_id", "start"))).alias("kept"),
     )
-    return paragraphs.union(passages(docs, table, marked.withColumn("least", F.col("first").eqNullSafe(at)).withColumn("kept", F.col("keeper").eqNullSafe(at))))
+    return paragraphs.union(passages(docs, table.where("piece = 0"), steps, marked.withColumn("least", F.col("first").eqNullSafe(at)).withColumn("kept", F.col("keeper").eqNullSafe(at))))
 
 
-def passages(docs: DataFrame, table: DataFrame, marked: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, table: DataFrame, steps: Steps, marked: DataFrame) -> DataFrame:
     """Rows of passages outside the repeated paragraphs ``marked`` (doc_id, start, words, uid, kept, least).
 
     Of a run of WORDS words the first occurrence is its keeper, one outside of paragraphs that go
@@ -508,26 +518,27 @@ def passages(docs: DataFrame, table: DataFrame, marked: DataFrame) -> DataFrame:
     row stands for their runs; where they differ, the runs of each different block are counted
     once, with its number of places.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = table.where("piece = 0").select("doc_id", "uid")
+    seeds = table.select("doc_id", "uid")
     copied = seeds.groupBy("uid").count().where("count > 1").select("uid")
     wanted = seeds.join(copied, "uid").groupBy("doc_id").agg(F.collect_set("uid").alias("seeds"))
     own = marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "words", "uid", "kept", "least")).alias("paragraphs")).withColumnRenamed("doc_id", "d")
-    own = checkpointed(own)
-    wanted = checkpointed(wanted.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d"))
+    own = steps.written(own, "own")
+    wanted = steps.written(wanted.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d"), "asked")
+    steps.dropped("units")
     asked = _with_text(texts, wanted).select("doc_id", "text", F.xxhash64("text").alias("t"), "seeds", "paragraphs")
     schema = "doc_id long, t long, at int, size int, seed long, block long, goes boolean, covered boolean, windows array<long>"
-    path = f"{shared_folder(spark)}/barloom-blocks-{uuid.uuid4().hex}"
-    blocks = written(asked.mapInArrow(_block_batches, schema), path)
-    spoken = checkpointed(repeated_blocks(blocks))
+    blocks = steps.written(asked.mapInArrow(_block_batches, schema), "blocks")
+    steps.dropped("asked")
+    spoken = steps.written(repeated_blocks(blocks, steps), "spoken")
+    steps.dropped("blocks", "seeds", "different")
     told = spoken.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
     told = _with_text(texts, told).where(F.xxhash64("text") == F.col("t")).select("doc_id", "text", "blocks", "paragraphs")
     out = told.mapInArrow(_passage_batches, "doc_id long, line int, start long, end long, n_words long, component_id long, kept boolean")
     return out.distinct().select("doc_id", "line", "start", "end", "n_words", F.lit("passage").alias("kind"), "component_id", "kept")
 
 
-def repeated_blocks(blocks: DataFrame) -> DataFrame:
+def repeated_blocks(blocks: DataFrame, steps: Steps) -> DataFrame:
     """(doc_id, t, blocks) of documents that have runs which stand at two places or more, outside of repeated paragraphs.
 
     Each block (doc_id, t, at, size, found) lists its repeated runs ``k`` (-1: all) with the number of places and
@@ -535,12 +546,12 @@ def repeated_blocks(blocks: DataFrame) -> DataFrame:
     """
     place = F.struct("goes", "covered", "doc_id", "t", "at")
     seeds = blocks.groupBy("seed").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min(place).alias("p0"), F.max(place).alias("p1"), F.count("*").alias("n"), F.min("covered").alias("inside"))
-    seeds = checkpointed(seeds.where("not inside and not (p0 <=> p1)"))
+    seeds = steps.written(seeds.where("not inside and not (p0 <=> p1)"), "seeds")
     found = lambda k, p: F.struct(k.cast("int").alias("k"), F.col("n"), p["doc_id"].alias("keeper"), p["t"].alias("keeper_t"), p["at"].alias("keeper_at"))
     even = seeds.where("b0 = b1").select(F.col("b0").alias("block"), F.array(found(F.lit(-1), F.col("p0"))).alias("found"))
     uneven = seeds.where("b0 <> b1").select("seed")
     different = blocks.join(uneven, "seed").groupBy("block").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.count("*").alias("n"), F.first("windows").alias("windows"))
-    runs = checkpointed(different).select("block", "p0", "p1", "n", F.posexplode("windows").alias("k", "run"))
+    runs = steps.written(different, "different").select("block", "p0", "p1", "n", F.posexplode("windows").alias("k", "run"))
     shifted = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("goes", "covered", "doc_id", "t")], (F.col(f"{p}.at") + F.col("k")).alias("at"))
     counted = runs.groupBy("run").agg(F.min(shifted("p0")).alias("p0"), F.max(shifted("p1")).alias("p1"), F.sum("n").alias("n")).where("not (p0 <=> p1)").drop("p1")
     met = runs.select("block", "k", "run").join(counted, "run").groupBy("block").agg(F.collect_list(found(F.col("k"), F.col("p0"))).alias("found"))

@@ -181,7 +181,7 @@ def test_links_of_a_crowded_bucket_are_all_found(spark):
                 join(want, a, b)
     table = spark.createDataFrame([(-1, u, t) for u, t in texts.items()], "piece int, uid long, text string")
     distinct = spark.createDataFrame([(u, [7]) for u in texts], "uid long, bands array<long>")
-    found = paragraphs.links(table, distinct).collect()
+    found = paragraphs.links(table, distinct, paragraphs.Steps(spark)).collect()
     assert all(len(sets[e.a] & sets[e.b]) >= paragraphs.LIKE * len(sets[e.a] | sets[e.b]) for e in found)
     got = {u: u for u in texts}
     for e in found:
