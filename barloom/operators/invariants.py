@@ -49,7 +49,7 @@ def violations(log: DataFrame, terminal: bool = False) -> DataFrame:
     of_one = Window.partitionBy("stream_id", "layer", "level_id", "identity").orderBy("bar_idx", "seq")
     of_whole = Window.partitionBy("stream_id", "layer", "level_id", "identity", "ends").orderBy("bar_idx", "seq").rowsBetween(Window.unboundedPreceding, -1)
     engine = Window.partitionBy("stream_id", "engine").orderBy("bar_idx", "seq")
-    arrival = Window.partitionBy("stream_id").orderBy("bar_idx")
+    arrival = Window.partitionBy("stream_id").orderBy("bar_idx", "layer", "level_id", "seq")
     what = F.regexp_extract("event_type", "[a-z]+$", 0)
     e = log.withColumns({"identity": identity, "ends": ends}).withColumn("engine", F.when(F.col("level_id") > 1, F.concat(F.lit("level"), "level_id")).otherwise(F.col("layer")))
     e = e.withColumns({"what": what, "last": F.lag(what).over(of_one), "seq_before": F.lag("seq").over(engine), "ts_before": F.lag("bar_ts").over(arrival)})
@@ -107,46 +107,109 @@ def wrong_fractals(fractals: DataFrame, merged: DataFrame) -> DataFrame:
     return met.where(F.col("ph").isNull() | F.col("nh").isNull() | ~F.coalesce(fits, F.lit(False))).select(*[fractals[c] for c in fractals.columns])
 
 
-def wrong_strokes(strokes: DataFrame, min_gap: int = 4) -> DataFrame:
-    """Strokes that are too short, do not alternate, do not join the one before, or are unconfirmed before the end."""
+def wrong_strokes(strokes: DataFrame, mode: str = "wide", min_sep: int = 5) -> DataFrame:
+    """Strokes that are too short for their mode, do not alternate, do not join the one before, or are unconfirmed before the end."""
     w = Window.partitionBy("stream_id").orderBy("idx")
+    least = 4 if mode == "wide" else min_sep
     s = strokes.withColumns({"d": F.lag("direction").over(w), "e": F.lag("i1").over(w), "n": F.lead("idx").over(w)})
-    bad = (F.col("i1") - F.col("i0") < min_gap) | (F.col("d") == F.col("direction")) | (F.col("e") != F.col("i0")) | (F.col("confirmed") == F.col("n").isNull())
+    bad = (F.col("i1") - F.col("i0") < F.greatest(F.lit(least), F.lit(1))) | (F.col("d") == F.col("direction")) | (F.col("e") != F.col("i0")) | (F.col("confirmed") == F.col("n").isNull())
     return s.where(F.coalesce(bad, F.lit(False))).drop("d", "e", "n")
 
 
-def wrong_directions(merged: DataFrame, bars: DataFrame) -> DataFrame:
-    """Merged bars that do not span their raw bars' times, opens and closes: first open, last close and time, highs and lows among them."""
-    w = Window.partitionBy("stream_id").orderBy("ts")
-    raw = bars.select("stream_id", "ts", "open", "high", "low", "close", (F.row_number().over(w) - 1).alias("i"))
-    first = raw.select("stream_id", F.col("i").alias("raw_start"), F.col("open").alias("o"))
-    last = raw.select("stream_id", F.col("i").alias("raw_end"), F.col("close").alias("c"))
-    met = merged.join(first, ["stream_id", "raw_start"], "left").join(last, ["stream_id", "raw_end"], "left")
-    return met.where(~F.coalesce((F.col("open") == F.col("o")) & (F.col("close") == F.col("c")) & (F.col("high") >= F.col("low")), F.lit(False))).select(*[merged[c] for c in merged.columns])
+def wrong_merges(merged: DataFrame, bars: DataFrame) -> DataFrame:
+    """Merged bars that inclusion, told anew from the raw bars, does not give.
 
-
-def wrong_segments(segments: DataFrame, strokes: DataFrame, least: int = 3) -> DataFrame:
-    """Segments of too few strokes, off their strokes' bars, not next to the one before, or not against it."""
+    A merged bar's sense is falling if its first raw high is under the high of the merged bar
+    before. Every further raw bar must hold, or be held by, what was merged until then, and the
+    first one must not with the merged bar before; open and close are the first and last raw
+    ones, high and low the highest of both, or the lowest when falling.
+    """
+    order = Window.partitionBy("stream_id").orderBy("i")
+    one = Window.partitionBy("stream_id", "idx").orderBy("i")
+    upto, rest = order.rowsBetween(Window.unboundedPreceding, 0), one.rowsBetween(Window.unboundedPreceding, -1)
+    raw = bars.select("stream_id", "open", "high", "low", "close", (F.row_number().over(Window.partitionBy("stream_id").orderBy("ts")) - 1).cast("long").alias("i"))
     w = Window.partitionBy("stream_id").orderBy("idx")
-    first, last = strokes.select("stream_id", F.col("idx").alias("s0"), F.col("i0").alias("b0")), strokes.select("stream_id", F.col("idx").alias("s1"), F.col("i1").alias("b1"))
-    s = segments.withColumns({"e": F.lag("s1").over(w), "d": F.lag("direction").over(w)}).join(first, ["stream_id", "s0"], "left").join(last, ["stream_id", "s1"], "left")
-    bad = (F.col("s1") - F.col("s0") + 1 < least) | (F.col("i0") != F.col("b0")) | (F.col("i1") != F.col("b1")) | ~F.col("s0").isin(F.col("e"), F.col("e") + 1) | (F.col("d") == F.col("direction"))
-    return s.where(F.coalesce(bad, F.lit(False)) | F.col("b0").isNull() | F.col("b1").isNull()).select(*[segments[c] for c in segments.columns])
+    starts = merged.select("stream_id", F.col("raw_start").alias("i"), F.struct("idx", F.lag("high").over(w).alias("ph"), F.lag("low").over(w).alias("pl")).alias("m"))
+    told = raw.join(starts, ["stream_id", "i"], "left").withColumn("first", F.col("m").isNotNull()).withColumn("m", F.last("m", ignorenulls=True).over(upto)).select("*", "m.*").drop("m")
+    falling = F.coalesce(F.first("high").over(one.rowsBetween(Window.unboundedPreceding, 0)) < F.col("ph"), F.lit(False))
+    told = told.withColumn("falling", falling)
+    told = told.withColumns({f"r_{c}": F.when(F.col("first"), F.col(f"p{c[0]}")).when(F.col("falling"), F.min(c).over(rest)).otherwise(F.max(c).over(rest)) for c in ("high", "low")})
+    held = ((F.col("r_high") >= F.col("high")) & (F.col("r_low") <= F.col("low"))) | ((F.col("high") >= F.col("r_high")) & (F.col("low") <= F.col("r_low")))
+    pick = lambda c: F.when(F.first("falling"), F.min(c)).otherwise(F.max(c))
+    made = told.groupBy("stream_id", "idx").agg(
+        F.min_by("open", "i").alias("o"), pick("high").alias("h"), pick("low").alias("l"), F.max_by("close", "i").alias("c"), F.max("i").alias("e"), F.max(F.coalesce(F.col("first") == held, F.lit(False))).alias("odd")
+    )
+    met = merged.join(made, ["stream_id", "idx"], "left")
+    agree = ~F.col("odd") & (F.col("open") == F.col("o")) & (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("close") == F.col("c")) & (F.col("raw_end") == F.col("e"))
+    return met.where(~F.coalesce(agree, F.lit(False))).select(*[merged[c] for c in merged.columns])
+
+
+def wrong_segments(segments: DataFrame, strokes: DataFrame, algorithm: str = "v1") -> DataFrame:
+    """Segments that break the rules of their algorithm.
+
+    Both: three strokes at least; bars of their boundary strokes; all but the last confirmed.
+    v0: the first three strokes overlap. v1: next to the one before and against it; not ending
+    behind where it began; only the last a candidate; a confirmed one has a turn whose three strokes overlap.
+    """
+    w, of_stroke = Window.partitionBy("stream_id").orderBy("idx"), Window.partitionBy("stream_id").orderBy("idx")
+    low = F.greatest("low", F.lead("low", 1).over(of_stroke), F.lead("low", 2).over(of_stroke))
+    high = F.least("high", F.lead("high", 1).over(of_stroke), F.lead("high", 2).over(of_stroke))
+    meets = F.when(F.lead("idx", 2).over(of_stroke).isNotNull(), low < high)
+    three = strokes.select("stream_id", "idx", "i0", "i1", meets.alias("meets"))
+    first = three.select("stream_id", F.col("idx").alias("s0"), F.col("i0").alias("b0"), F.col("meets").alias("m0"))
+    last = three.select("stream_id", F.col("idx").alias("s1"), F.col("i1").alias("b1"))
+    s = segments.withColumns({"e": F.lag("s1").over(w), "d": F.lag("direction").over(w), "end": F.lead("idx").over(w).isNull()})
+    s = s.join(first, ["stream_id", "s0"], "left").join(last, ["stream_id", "s1"], "left")
+    bad = [F.col("s1") - F.col("s0") < 2, F.col("i0") != F.col("b0"), F.col("i1") != F.col("b1"), F.col("b0").isNull(), F.col("b1").isNull(), F.col("confirmed") == F.col("end")]
+    if algorithm == "v0":
+        bad.append(~F.coalesce("m0", F.lit(False)))
+    else:
+        turns = three.select("stream_id", F.col("idx").alias("trigger_k"), F.col("meets").alias("mk"))
+        s = s.join(turns, ["stream_id", "trigger_k"], "left")
+        way = F.when(F.col("direction") == "up", 1).otherwise(-1)
+        bad += [
+            ~F.col("s0").isin(F.col("e"), F.col("e") + 1), F.col("d") == F.col("direction"), (F.col("p0") != 0) & (F.col("p1") != 0) & (way * (F.col("p1") - F.col("p0")) < -1e-9),
+            (F.col("kind") == "candidate") & ~F.col("end"), (F.col("kind") == "settled") & F.col("confirmed") & F.col("trigger_k").isNull(), F.col("confirmed") & (F.col("mk") == False),  # noqa: E712
+        ]
+    broken = F.lit(False)
+    for b in bad:
+        broken = broken | F.coalesce(b, F.lit(False))
+    return s.where(broken).select(*[segments[c] for c in segments.columns])
 
 
 def wrong_centers(centers: DataFrame, sustain_m: int = 2) -> DataFrame:
-    """Centers of the older chain with fewer than three parts, an empty core, or a kind that does not fit how long they lasted."""
-    bad = (F.col("seg1") - F.col("seg0") < 2) | (F.col("high") <= F.col("low")) | ((F.col("kind") == "settled") != (F.col("sustain") >= sustain_m))
-    return centers.where(bad)
+    """Centers of the older chain with fewer than three parts, an empty core, a kind that does not fit how long they lasted, or confirmed as the last (or not, before)."""
+    w = Window.partitionBy("stream_id", "level").orderBy("idx")
+    bad = (F.col("seg1") - F.col("seg0") < 2) | (F.col("high") <= F.col("low")) | ((F.col("kind") == "settled") != (F.col("sustain") >= sustain_m)) | (F.col("confirmed") == F.col("end"))
+    return centers.withColumn("end", F.lead("idx").over(w).isNull()).where(bad).drop("end")
+
+
+def _over_parts(rows: DataFrame, segments: DataFrame, trends: DataFrame) -> DataFrame:
+    """``rows`` (level, seg0, seg1, i0, i1) with the bars (b0, b1) of the parts they name: segments at level 1, confirmed trends of the level below above it."""
+    below = Window.partitionBy("stream_id", "level").orderBy("idx")
+    ones = segments.select("stream_id", F.lit(1).alias("level"), F.col("idx").alias("k"), "i0", "i1")
+    above = trends.where("confirmed").select("stream_id", (F.col("level") + 1).alias("level"), (F.row_number().over(below) - 1).cast("long").alias("k"), "i0", "i1")
+    parts = ones.unionByName(above)
+    first, last = parts.select("stream_id", "level", F.col("k").alias("seg0"), F.col("i0").alias("b0")), parts.select("stream_id", "level", F.col("k").alias("seg1"), F.col("i1").alias("b1"))
+    return rows.join(first, ["stream_id", "level", "seg0"], "left").join(last, ["stream_id", "level", "seg1"], "left")
 
 
 def parts_out_of_range(centers: DataFrame, segments: DataFrame, trends: DataFrame) -> DataFrame:
-    """Centers that reach past the parts of their level: segments at level 1, confirmed trends of the level below above it."""
-    ones = segments.groupBy("stream_id").agg(F.count("*").alias("n")).withColumn("level", F.lit(1))
-    above = trends.where("confirmed").groupBy("stream_id", (F.col("level") + 1).alias("level")).agg(F.count("*").alias("n"))
-    have = ones.unionByName(above)
-    met = centers.join(have, ["stream_id", "level"], "left")
-    return met.where((F.col("seg0") < 0) | (F.col("seg1") < F.col("seg0")) | (F.col("seg1") >= F.coalesce("n", F.lit(0)))).select(*[centers[c] for c in centers.columns])
+    """Centers that reach past the parts of their level."""
+    met = _over_parts(centers, segments, trends)
+    return met.where((F.col("seg1") < F.col("seg0")) | F.col("b0").isNull() | F.col("b1").isNull()).select(*[centers[c] for c in centers.columns])
+
+
+def pen_centers(centers: DataFrame, segments: DataFrame, trends: DataFrame) -> DataFrame:
+    """Centers whose bars are not those of the parts they name, as if built over strokes or over another level."""
+    met = _over_parts(centers, segments, trends)
+    return met.where((F.col("i0") != F.col("b0")) | (F.col("i1") != F.col("b1"))).select(*[centers[c] for c in centers.columns])
+
+
+def mixed_ledgers(segments: DataFrame, trends: DataFrame) -> DataFrame:
+    """Trends of levels above the first that do not stand on confirmed trends of the level below."""
+    met = _over_parts(trends.where("level > 1"), segments, trends)
+    return met.where(~F.coalesce((F.col("i0") == F.col("b0")) & (F.col("i1") == F.col("b1")), F.lit(False))).select(*[trends[c] for c in trends.columns])
 
 
 def doubled_live_centers(liveness: DataFrame, zhongshus: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ Sequential rules are recursive queries that step through positions, one row a st
 from __future__ import annotations
 
 from barloom.functions.streams import CATALOG
+from barloom.plans import chain_sql as chain
+from barloom.plans import check_sql as check
 
 _SECONDS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "1d": 86400}
 
@@ -36,14 +38,25 @@ def walk_bars(tf: str = "1h") -> str:
     return _bars(WALK, tf)
 
 
+def numbered(bars: str) -> str:
+    """Bars with their position, as a CTE body."""
+    return f"SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts) - 1 AS i FROM ({bars})"
+
+
 def walk(tf: str = "1h") -> str:
-    """Walk bars with their position, as a CTE body."""
-    return f"SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts) - 1 AS i FROM ({walk_bars(tf)})"
+    return numbered(walk_bars(tf))
+
 
+#: Streams that turn every five bars (sources/fixtures.py, leg_bars).
+LEGS = """SELECT stream_id, make_timestamp(1704067200000000 + 60000000 * (leg * 5 + j)) AS ts, p + d * j AS open, greatest(p + d * j, p + d * (j + 1)) AS high, least(p + d * j, p + d * (j + 1)) AS low, p + d * (j + 1) AS close FROM (
+      SELECT CAST(k AS VARCHAR) AS stream_id, leg, d, CAST(10000000 + 5 * (sum(d) OVER (PARTITION BY k ORDER BY leg ROWS UNBOUNDED PRECEDING) - d) AS BIGINT) AS p FROM (
+        SELECT k, r // 4 AS leg, CAST(CASE WHEN r // 4 % 2 = 0 THEN 1000 + sum(c) % 9001 ELSE -(1000 + sum(c) % 9001) END + CASE WHEN r // 480 % 2 = 0 THEN 1200 ELSE -1200 END AS BIGINT) AS d
+        FROM (SELECT l_partkey % 20 AS k, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY l_partkey % 20 ORDER BY l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS r FROM lineitem) GROUP BY k, r // 4, r // 480)), range(5) t(j)"""
 
-def merged(tf: str = "1h") -> str:
-    """CTEs bars, steps and merged."""
-    return f"""bars AS MATERIALIZED ({walk(tf)}),
+
+def merged(tf: str = "1h", bars: str = "") -> str:
+    """CTEs bars, steps and merged, of walk bars or of ``bars``."""
+    return f"""bars AS MATERIALIZED ({numbered(bars) if bars else walk(tf)}),
     steps AS (
       SELECT stream_id, i, ts, open, high, low, close, false AS falling, CAST(0 AS BIGINT) AS idx, i AS raw_start FROM bars WHERE i = 0
       UNION ALL
@@ -77,9 +90,9 @@ TURNS = """turns AS MATERIALIZED (
 _GAP = {"wide": "t.m_idx - s.a >= 4", "strict": "t.m_idx - s.a >= 5", "new": "t.m_idx - s.a >= 2 AND t.raw_start - s.a_end - 1 >= 3"}
 
 
-def strokes(mode: str = "wide", tf: str = "1h") -> str:
+def strokes(mode: str = "wide", tf: str = "1h", bars: str = "") -> str:
     """CTEs up to strokes: anchor a, number n of the last stroke, and that stroke's ends after every turn."""
-    return f"""{merged(tf)}, {FRACTALS}, {TURNS},
+    return f"""{merged(tf, bars)}, {FRACTALS}, {TURNS},
     tries AS (
       SELECT stream_id, r, m_idx AS a, kind AS a_kind, price AS a_price, raw_end AS a_end, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS i0, CAST(NULL AS DOUBLE) AS p0, CAST(NULL AS BIGINT) AS i1, CAST(NULL AS DOUBLE) AS p1
       FROM turns WHERE r = 1
@@ -153,18 +166,17 @@ _EDGES = """wide AS (
 _STRENGTH = "CASE WHEN abs(net) >= 3 THEN 'strong' WHEN abs(net) = 2 THEN 'weak' ELSE 'none' END AS strength"
 _FLOWS = f"SELECT ts, vertex, net, {_STRENGTH}, CASE WHEN net > 0 THEN 'sink' WHEN net < 0 THEN 'source' ELSE 'neutral' END AS role FROM nets"
 
-_MACD = """bars AS MATERIALIZED ({walk}),
-    line AS (
+_LINE = """line AS (
       SELECT stream_id, i, ts, CAST(close AS DOUBLE) AS f, CAST(close AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS g FROM bars WHERE i = 0
       UNION ALL
-      SELECT b.stream_id, b.i, b.ts, x.f, x.s, (1 - 2.0 / 10) * l.g + (2.0 / 10) * (x.f - x.s) FROM line l JOIN bars b ON b.stream_id = l.stream_id AND b.i = l.i + 1
+      SELECT b.stream_id, b.i, b.ts, x.f, x.s, (1 - CAST(2 AS DOUBLE) / 10) * l.g + (CAST(2 AS DOUBLE) / 10) * (x.f - x.s) FROM line l JOIN bars b ON b.stream_id = l.stream_id AND b.i = l.i + 1
       CROSS JOIN LATERAL (SELECT (1 - CAST(2 AS DOUBLE) / 13) * l.f + (CAST(2 AS DOUBLE) / 13) * b.close AS f, (1 - CAST(2 AS DOUBLE) / 27) * l.s + (CAST(2 AS DOUBLE) / 27) * b.close AS s) x
     ),
     macd AS MATERIALIZED (SELECT stream_id, i, ts, f - s AS macd, g AS signal, f - s - g AS hist FROM line)"""
 
 
 def _macd(tf: str = "1h") -> str:
-    return _MACD.format(walk=walk(tf)).replace("2.0 / 10", "CAST(2 AS DOUBLE) / 10")
+    return f"bars AS MATERIALIZED ({walk(tf)}), {_LINE}"
 
 
 _NAMES = ("EQUITY", "REAL_ESTATE", "COMMODITY", "CASH")
@@ -182,11 +194,6 @@ def _timeline() -> str:
     SELECT *, {_STRENGTH} FROM ({nets})"""
 
 
-def _none(columns: str) -> str:
-    """No rows: the check finds nothing."""
-    return f"SELECT {columns} WHERE false"
-
-
 def oracle_sql() -> dict[str, str]:
     hourly = event_bars()
     sql = {"bars_hourly": f"SELECT {BAR} FROM ({hourly})"}
@@ -223,7 +230,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT b.stream_id, b.i, b.ts, (1 - CAST(1 AS DOUBLE) / 14) * r.g + (CAST(1 AS DOUBLE) / 14) * greatest(b.d, 0), (1 - CAST(1 AS DOUBLE) / 14) * r.l + (CAST(1 AS DOUBLE) / 14) * greatest(-b.d, 0)
         FROM r JOIN bars b ON b.stream_id = r.stream_id AND b.i = r.i + 1)
       SELECT b.stream_id, b.ts, round(CASE WHEN r.i < 14 OR (r.g = 0 AND r.l = 0) THEN NULL WHEN r.l = 0 THEN 100 ELSE 100 - 100 / (1 + r.g / r.l) END, 6) AS rsi FROM bars b LEFT JOIN r ON r.stream_id = b.stream_id AND r.i = b.i"""
-    sql["macd_area"] = f"""WITH RECURSIVE {_macd()} SELECT stream_id, i // 50 AS part, min(i) AS lo, max(i) AS hi, round(sum(hist), 3) AS area_total, round(sum(greatest(hist, 0)), 3) AS area_pos, round(sum(least(hist, 0)), 3) AS area_neg, count(*) AS n_bars FROM macd GROUP BY 1, 2"""
+    sql["macd_area"] = f"""WITH RECURSIVE {_macd()} SELECT stream_id, i // 50 AS part, min(i) AS lo, max(i) AS hi, round(fsum(hist), 6) AS area_total, round(fsum(greatest(hist, 0)), 6) AS area_pos, round(fsum(least(hist, 0)), 6) AS area_neg, count(*) AS n_bars FROM macd GROUP BY 1, 2"""
     sql["inclusion"] = f"WITH RECURSIVE {merged()} SELECT stream_id, idx, ts, open, high, low, close, raw_start, raw_end FROM merged"
     sql["fractals"] = f"WITH RECURSIVE {merged()}, {FRACTALS} SELECT stream_id, m_idx, kind, price FROM fractals"
     sql["fractals_dedup"] = f"WITH RECURSIVE {merged()}, {FRACTALS}, {TURNS} SELECT stream_id, m_idx, kind, price FROM turns"
@@ -238,28 +245,75 @@ def oracle_sql() -> dict[str, str]:
     leg = "OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"
     sql["force_amplitude"] = f"""WITH RECURSIVE {strokes()} SELECT stream_id, idx, direction, (h - l) * greatest(b, 1) AS force FROM (
       SELECT stream_id, idx, direction, count(*) {leg} AS n, max(high) {leg} AS h, min(low) {leg} AS l, max(i1) {leg} - min(i0) {leg} AS b FROM strokes) WHERE n = 3"""
-    sql["force_macd"] = f"""WITH RECURSIVE {strokes()}, {_macd().replace('bars AS MATERIALIZED', 'again AS MATERIALIZED').replace('FROM bars', 'FROM again').replace('JOIN bars', 'JOIN again')}
-      SELECT s.stream_id, s.idx, s.direction, round(abs(round(sum(CASE WHEN s.direction = 'up' THEN greatest(m.hist, 0) ELSE least(m.hist, 0) END), 6)), 3) AS force,
-        round(CASE WHEN s.direction = 'up' THEN greatest(max(m.macd), 0) ELSE abs(least(min(m.macd), 0)) END, 3) AS dif_peak, round(CASE WHEN s.direction = 'up' THEN greatest(max(m.hist), 0) ELSE abs(least(min(m.hist), 0)) END, 3) AS hist_peak
-      FROM strokes s JOIN merged a ON a.stream_id = s.stream_id AND a.idx = s.i0 JOIN merged z ON z.stream_id = s.stream_id AND z.idx = s.i1 JOIN macd m ON m.stream_id = s.stream_id AND m.i BETWEEN a.raw_start AND z.raw_end
+    sql["force_macd"] = f"""WITH RECURSIVE {strokes()}, {_LINE},
+      starts AS MATERIALIZED (SELECT s.*, m.raw_start AS lo FROM strokes s JOIN merged m ON m.stream_id = s.stream_id AND m.idx = s.i0),
+      placed AS MATERIALIZED (SELECT s.*, m.raw_end AS hi FROM starts s JOIN merged m ON m.stream_id = s.stream_id AND m.idx = s.i1)
+      SELECT s.stream_id, s.idx, s.direction, abs(round(fsum(CASE WHEN s.direction = 'up' THEN greatest(m.hist, 0) ELSE least(m.hist, 0) END), 6)) AS force,
+        round(CASE WHEN s.direction = 'up' THEN greatest(max(m.macd), 0) ELSE abs(least(min(m.macd), 0)) END, 6) AS dif_peak, round(CASE WHEN s.direction = 'up' THEN greatest(max(m.hist), 0) ELSE abs(least(min(m.hist), 0)) END, 6) AS hist_peak
+      FROM placed s JOIN macd m ON m.stream_id = s.stream_id AND m.i BETWEEN s.lo AND s.hi
       GROUP BY s.stream_id, s.idx, s.direction"""
     sql["stroke_flows"] = f"""WITH RECURSIVE {strokes()} SELECT stream_id, CASE WHEN direction = 'up' THEN 'B_TO_A' ELSE 'A_TO_B' END AS flow, count(*) AS n, round(avg(abs(p1 - p0) / abs(p0)), 9) AS mean_magnitude, round(max(abs(p1 - p0) / abs(p0)), 9) AS max_magnitude
       FROM strokes GROUP BY 1, 2"""
+    base = f"WITH RECURSIVE {strokes(tf='5m')}, {chain.SEGMENTS_V1}"
+    sql["segments_v1"] = f"{base} SELECT stream_id, CAST(0 AS INTEGER) AS level, * EXCLUDE (stream_id) FROM segments"
+    sql["feature_fractals"] = f"{base}, {chain.FEATURES} SELECT stream_id, CAST(0 AS INTEGER) AS level, * EXCLUDE (stream_id) FROM features"
+    sql["zhongshu_v1"] = f"{base}, {chain.chain()} {chain.ZHONGSHUS}"
+    sql["moves_v1"] = f"{base}, {chain.chain()} {chain.MOVES}"
+    sql["divergences_v1"] = f"{base}, {_LINE}, {chain.chain()}, {chain.divergences()} {chain.DIVERGENCES}"
+    sql["trading_points"] = f"{base}, {chain.chain()}, {chain.divergences('bars')}, {chain.POINTS}"
+    sql["center_liveness"] = f"{base}, {chain.chain()}, {chain.liveness()} {chain.LIVENESS}"
+    sql["lstar"] = f"{base}, {chain.chain()}, {chain.liveness()} {chain.LSTAR}"
+    deep = f"WITH RECURSIVE {strokes(bars=LEGS)}, {chain.SEGMENTS_V1}"
+    sql["deep_zhongshus"] = f"{deep}, {chain.chain()} {chain.ZHONGSHUS}"
+    sql["deep_moves"] = f"{deep}, {chain.chain()} {chain.MOVES}"
+    sql["deep_divergences"] = f"{deep}, {_LINE}, {chain.chain()}, {chain.divergences()} {chain.DIVERGENCES}"
+    sql["deep_points"] = f"{deep}, {chain.chain()}, {chain.divergences('bars')}, {chain.POINTS}"
+    sql["deep_liveness"] = f"{deep}, {chain.chain()}, {chain.liveness()} {chain.LIVENESS}"
+    sql["deep_lstar"] = f"{deep}, {chain.chain()}, {chain.liveness()} {chain.LSTAR}"
+    sql["nested_divergence"] = f"{deep}, {_LINE}, {chain.chain()}, {chain.divergences()}, {chain.NESTED}"
+    sql["small_to_big"] = f"{deep}, {chain.chain()}, {chain.divergences('bars')}, {chain.older_chain()}, {chain.divergences_v0('bars')} {chain.TURNS}"
+    sql["centers_v0"] = f"{base}, {chain.older_chain()} {chain.CENTERS_V0}"
+    sql["trends_v0"] = f"{base}, {chain.older_chain()} {chain.TRENDS_V0}"
+    sql["divergences_v0"] = f"{base}, {_LINE}, {chain.older_chain()}, {chain.divergences_v0()} {chain.DIVERGENCES_V0}"
+    levels = " UNION ALL ".join(f"SELECT stream_id, '{layer}' AS layer, CAST({level} AS INTEGER) AS level FROM {name}" for layer, level, name in chain.LAYERS)
+    sql["layer_counts"] = f"{base}, {chain.chain()}, {chain.older_chain()} SELECT stream_id, layer, level, count(*) AS n FROM ({levels}) GROUP BY 1, 2, 3"
+    sql["brand_strokes"] = f"WITH RECURSIVE {strokes(bars=sql['brand_daily'])} SELECT stream_id, count(*) AS n, max(high) AS high, min(low) AS low FROM strokes GROUP BY 1"
+    users = WALK.replace("event_type AS stream_id", "CAST(user_id AS VARCHAR) AS stream_id").replace("PARTITION BY event_type", "PARTITION BY user_id")
+    sql["user_stroke_counts"] = f"WITH RECURSIVE {strokes(bars=_bars(users, '1h'))} SELECT stream_id, count(*) AS n FROM strokes GROUP BY 1"
+    pairs = f"""WITH RECURSIVE each AS MATERIALIZED ({walk_bars()}),
+    ratios AS MATERIALIZED (SELECT x.stream_id || '/' || y.stream_id AS stream_id, x.ts, y.open = 0 OR y.close = 0 AS nought, {', '.join(f'CAST(x.{c} AS DOUBLE) / y.{c} AS {c}' for c in columns)} FROM each x JOIN each y ON x.ts = y.ts AND x.stream_id < y.stream_id),
+    told AS MATERIALIZED (
+      SELECT *, early IS NULL AND n_bars >= 30 AS still FROM (
+        SELECT *, CASE WHEN nought THEN 'zero price in b' WHEN n_bars < 5 THEN 'insufficient overlap' WHEN cv < 0.01 THEN 'degenerate ratio' END AS early FROM (
+          SELECT stream_id AS pair_id, count(*) AS n_bars, bool_or(nought) AS nought, avg(close) AS mean, CASE WHEN avg(close) <> 0 THEN stddev_pop(close) / avg(close) ELSE 0 END AS cv FROM ratios GROUP BY 1))),
+    {strokes(bars='SELECT * FROM ratios WHERE stream_id IN (SELECT pair_id FROM told WHERE still)')}, {_LINE},
+    judged AS MATERIALIZED (
+      SELECT t.*, CASE WHEN t.still THEN coalesce(s.n, 0) END AS n_strokes, s.mean_move, h.h / t.mean AS norm FROM told t LEFT JOIN (SELECT stream_id, count(*) AS n, avg(abs(p1 / p0 - 1)) AS mean_move FROM strokes GROUP BY 1) s ON s.stream_id = t.pair_id
+      LEFT JOIN (SELECT stream_id, avg(abs(hist)) AS h FROM macd GROUP BY 1) h ON h.stream_id = t.pair_id),
+    reasons AS MATERIALIZED (SELECT *, coalesce(early, CASE WHEN still AND n_strokes > 0 THEN CASE WHEN mean_move < 0.005 THEN 'structure degenerate' WHEN norm < 0.0001 THEN 'dynamics degenerate' END END) AS reason FROM judged)"""
+    sql["pair_validation"] = f"""{pairs} SELECT pair_id, reason IS NULL AS valid, reason, n_bars, round(CASE WHEN early IS NULL OR early = 'degenerate ratio' THEN cv END, 9) AS cv, n_strokes,
+      round(CASE WHEN n_strokes > 0 THEN mean_move END, 9) AS stroke_mean, round(CASE WHEN n_strokes > 0 AND mean_move >= 0.005 THEN norm END, 9) AS macd_norm FROM reasons"""
+    sql["ratio_structure"] = f"""{pairs}, {chain.SEGMENTS_V1} SELECT r.pair_id, r.reason IS NULL AS valid, r.reason AS error, r.n_bars, r.n_strokes, CASE WHEN r.reason IS NULL THEN coalesce(g.n, 0) END AS n_segments
+      FROM reasons r LEFT JOIN (SELECT stream_id, count(*) AS n FROM segments GROUP BY 1) g ON g.stream_id = r.pair_id"""
     flows = f"WITH bars AS ({walk_bars()}), {_EDGES}"
     sql["vertex_net_flow"] = f"{flows} {_FLOWS}"
-    sql["resonance"] = f"{flows} SELECT * FROM ({_FLOWS}) WHERE strength <> 'none'"
+    sql["resonance"] = f"{flows} SELECT *, abs(net) >= 2 AS resonates FROM ({_FLOWS})"
     sql["conservation_check"] = f"{flows} SELECT ts, CAST(sum(net) AS BIGINT) AS total FROM nets GROUP BY ts HAVING sum(net) <> 0"
     sql["cash_signal"] = f"""{flows} SELECT ts, cash_net, round(CASE WHEN cash_net = 0 THEN 0 ELSE v END, 9) AS variance,
       CASE WHEN cash_net = 0 THEN 'neutral' WHEN v = 0 THEN 'metric_shift' WHEN v / (8.0 / 9.0) > 0.5 THEN 'genuine_flow' ELSE 'mixed' END AS signal,
       CAST(round(CASE WHEN cash_net = 0 OR v = 0 THEN 1.0 WHEN v / (8.0 / 9.0) > 0.5 THEN least(v / (8.0 / 9.0), 1.0) ELSE 0.5 END, 9) AS DOUBLE) AS confidence
       FROM (SELECT ts, net AS cash_net FROM nets WHERE vertex = 'CASH') JOIN (SELECT ts, var_pop(-s) AS v FROM edges WHERE vertex_a <> 'CASH' AND vertex_b <> 'CASH' GROUP BY ts) USING (ts)"""
     sql["flow_timeline"] = _timeline()
-    sql["invariant_violations"] = _none("'' AS stream_id, '' AS code, CAST(0 AS BIGINT) AS bar_idx, CAST(0 AS BIGINT) AS seq, '' AS event_type, '' AS reason")
-    sql |= {name: _none("'' AS stream_id, CAST(0 AS BIGINT) AS idx") for name in ("inclusion_residual", "stroke_check", "segment_check")}
-    sql["fractal_check"] = _none("'' AS stream_id, CAST(0 AS BIGINT) AS m_idx")
-    sql["center_check"] = _none("'' AS stream_id, CAST(1 AS INTEGER) AS level, CAST(0 AS BIGINT) AS idx")
-    checks = ("A1 inclusion left", "A2 merged ends", "A3 fractals", "A4 strokes", "A6 segments", "A7 centers", "A8 parts", "A9 live centers")
-    sql["assertion_report"] = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CAST(0 AS BIGINT) AS n_broken, true AS ok" for c in checks)
+    sql["invariant_violations"] = check.violations()
+    sql["inclusion_residual"] = f"WITH RECURSIVE {merged()} SELECT 'merged' AS source, * FROM ({check.included('SELECT * FROM merged')}) UNION ALL SELECT 'raw', * FROM ({check.included('SELECT *, i AS idx FROM bars')})"
+    sql["direction_check"] = f"WITH RECURSIVE {merged()}, {check.retold('told', check.SPOILT['merged'])} SELECT * FROM told"
+    sql["fractal_check"] = f"WITH RECURSIVE {merged()}, {FRACTALS} {check.fractals(check.SPOILT['fractals'])}"
+    sql["stroke_check"] = f"WITH RECURSIVE {strokes()} {check.strokes(check.SPOILT['strokes'])}"
+    sql["segment_check"] = f"{base} {check.segments(check.SPOILT['segments'])}"
+    moved = "SELECT * REPLACE (s0 + CASE WHEN idx % 5 = 2 THEN 1 ELSE 0 END AS s0, s1 + CASE WHEN idx % 5 = 2 THEN 1 ELSE 0 END AS s1) FROM segments"
+    sql["segment_check_v0"] = f"WITH RECURSIVE {strokes(tf='5m')}, {SEGMENTS_V0} {check.segments(moved, True)}"
+    sql["center_check"] = f"{base}, {chain.older_chain()}, older AS MATERIALIZED ({chain.CENTERS_V0}) {check.centers(check.SPOILT['centers'])}"
+    sql["assertion_report"] = check.report(base, "")
     known = ", ".join(f"('{symbol}', '{exchange}')" for symbol, _, exchange, _ in CATALOG)
     sql["stream_names"] = f"""SELECT symbol, stream_id, substr(sha256(stream_id), 1, 12) AS stream_hash, '5m' AS tf FROM (SELECT s.symbol, coalesce(k.exchange, 'UNKNOWN') || ':' || upper(s.symbol) || '/1min@5m:L0/replay' AS stream_id
       FROM (SELECT symbol FROM (VALUES {known}) v(symbol, exchange) UNION ALL SELECT n_name FROM nation) s LEFT JOIN (VALUES {known}) k(symbol, exchange) ON k.symbol = upper(s.symbol))"""

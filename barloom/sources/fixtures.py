@@ -30,6 +30,23 @@ def walk_bars(spark: SparkSession, sf_dir: str, tf: str = "1h", stream: str = "e
     return tick_bars(ticks, tf, "stream", "price", ("ts", "event_id"))
 
 
+def leg_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of 20 streams that turn every five bars, longer up than down for 120 legs and then down than up: many levels in few bars.
+
+    A leg is as long as four line items tell; each of its bars moves by the same step.
+    """
+    order = Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber", "c")
+    lines = table(spark, sf_dir, "lineitem").select(F.pmod("l_partkey", F.lit(20)).alias("k"), "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("c"))
+    legs = lines.withColumn("leg", F.floor((F.row_number().over(order) - 1) / 4).cast("long")).groupBy("k", "leg").agg((F.lit(1000) + F.pmod(F.sum("c"), F.lit(9001))).alias("size"))
+    steps = F.when(F.col("leg") % 2 == 0, F.col("size")).otherwise(-F.col("size")) + F.when(F.floor(F.col("leg") / 120) % 2 == 0, 1200).otherwise(-1200)
+    legs = legs.withColumn("d", steps.cast("long"))
+    upto = Window.partitionBy("k").orderBy("leg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    legs = legs.withColumn("p", F.lit(10_000_000) + 5 * (F.sum("d").over(upto) - F.col("d"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    a, b = F.col("p") + F.col("d") * F.col("j"), F.col("p") + F.col("d") * (F.col("j") + 1)
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + 60_000_000 * (F.col("leg") * 5 + F.col("j"))).cast("timestamp_ntz")
+    return legs.select(F.col("k").cast("string").alias("stream_id"), at.alias("ts"), a.alias("open"), F.greatest(a, b).alias("high"), F.least(a, b).alias("low"), b.alias("close"), F.lit(1.0).alias("volume"))
+
+
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of unit prices in cents, one stream a part brand."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"))
