@@ -30,6 +30,7 @@ _DIVERGENCE = (
 FIELDS = {
     "merged": "ts_us long, open double, high double, low double, close double, raw_start long, raw_end long",
     "fractals": "m_idx long, kind string, price double, raw_start long, raw_end long",
+    "line": "ts_us long, macd double, signal double, hist double",
     "strokes": "i0 long, i1 long, direction string, high double, low double, p0 double, p1 double, confirmed boolean",
     "segments": "s0 long, s1 long, i0 long, i1 long, direction string, high double, low double, confirmed boolean, kind string, p0 double, p1 double, ep0_i long, ep1_i long, trigger_k long, fractal_a long, gap_type string",
     "features": "segment_idx long, first long, last long, high double, low double, fractal string, price double",
@@ -197,7 +198,8 @@ class LayerFold:
         self.macd: list[float] = []
         self.hist: list[float] = []
         self.emas = Ema(12), Ema(26), Ema(9)
-        self.bars_only = set(layers) <= {"merged", "fractals"}
+        self.lined = "line" in layers
+        self.bars_only = set(layers) <= {"merged", "fractals", "line"}
 
     def _row(self, layer: str, level: int, idx: int, fields: tuple) -> tuple:
         fields = tuple(list(x) if isinstance(x, tuple) else x for x in fields)
@@ -219,16 +221,25 @@ class LayerFold:
             self.n_fractals += 1
 
     def push(self, rows: pd.DataFrame) -> Iterator[tuple]:
+        given = zip(rows["macd"].tolist(), rows["hist"].tolist()) if "macd" in rows.columns else None
         for ts, o, h, l, c in zip(*(rows[k].tolist() for k in ("ts_us", "open", "high", "low", "close"))):
             bar, fractal = self.fold.push(self.raw, ts, o, h, l, c)
             if bar is not None:
                 yield from self._certain(bar, fractal)
+            if given:
+                dif, hist = next(given)
+                signal = dif - hist
+            elif self.settings.macd or self.lined:
+                dif = self.emas[0].next(c) - self.emas[1].next(c)
+                signal = self.emas[2].next(dif)
+            if self.settings.macd or self.lined:
+                if self.settings.macd:
+                    self.macd.append(dif)
+                    self.hist.append(dif - signal)
+                if self.lined:
+                    yield self._row("line", 0, self.raw, (ts, dif, signal, dif - signal))
             self.raw += 1
             self.close = c
-            if self.settings.macd:
-                dif = self.emas[0].next(c) - self.emas[1].next(c)
-                self.macd.append(dif)
-                self.hist.append(dif - self.emas[2].next(dif))
         if self.bars_only:
             self.fold.strokes.clear()
 
@@ -245,7 +256,7 @@ class LayerFold:
             if layer == "strokes":
                 for i, s in enumerate(strokes):
                     yield self._row(layer, 0, i, s)
-            elif layer not in ("merged", "fractals"):
+            elif layer not in ("merged", "fractals", "line"):
                 for level, idx, fields in chain.rows(layer):
                     yield self._row(layer, level, idx, fields)
 
@@ -255,13 +266,23 @@ def _names(layer: str) -> list[str]:
 
 
 def _bars(bars: DataFrame) -> DataFrame:
-    return bars.select("stream_id", F.expr("unix_micros(cast(ts as timestamp))").alias("ts_us"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")])
+    own = ("macd", "hist") if {"macd", "hist"} <= set(bars.columns) else ()
+    return bars.select(
+        "stream_id", F.expr("unix_micros(cast(ts as timestamp))").alias("ts_us"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")],
+        *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in own],
+    )
+
+
+def with_line(bars: DataFrame, line: DataFrame) -> DataFrame:
+    """Bars with a supplied MACD line (stream_id, ts, macd, hist) laid on their times: signals use it in place of their own. Bars the line has not stay, with unknown values."""
+    return bars.drop("macd", "hist").join(line.select("stream_id", "ts", "macd", "hist"), ["stream_id", "ts"], "left")
 
 
 def layer(bars: DataFrame, name: str, settings: Settings = Settings()) -> DataFrame:
     """One layer of every stream: stream_id, level, idx and the layer's columns.
 
-    ``bars``: stream_id, ts, open, high, low, close; other columns are not read. Level 0 is
+    ``bars``: stream_id, ts, open, high, low, close, and macd and hist if a line is supplied;
+    other columns are not read. Level 0 is
     what bars and strokes give, levels 1 and up are centers and moves. An empty table, or a
     stream too short for a layer, gives no rows.
     """

@@ -129,10 +129,13 @@ def macd_area(hist: np.ndarray, lo: int, hi: int) -> dict[str, float]:
 
 
 def peak(values: np.ndarray, lo: int, hi: int, direction: str) -> float:
-    """Largest value up, or depth down, 0 at least; a range that is not wholly there gives 0."""
+    """Largest value up, or depth down, 0 at least; a range that is not wholly there gives 0, and so does one without known values."""
     if lo > hi or lo < 0 or hi >= len(values):
         return 0.0
     own = values[lo : hi + 1]
+    own = own[~np.isnan(own)]
+    if not len(own):
+        return 0.0
     return max(0.0, float(own.max())) if direction == UP else abs(min(0.0, float(own.min())))
 
 

@@ -1,7 +1,7 @@
 """Force and momentum as joins over layers.
 
 Areas are differences of prefix sums joined at both ends of a range, so their cost does not
-depend on how long ranges are; peaks and extremes join bars that lie in a range through the
+depend on how long ranges are; the sums are decimals, so neither do their digits. Peaks and extremes join bars that lie in a range through the
 bucket both fall in.
 """
 
@@ -21,13 +21,15 @@ def macd_areas(line: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame
     area_pos, area_neg (rounded to 6 digits) and n_bars; an empty range gives zeros.
     """
     w = Window.partitionBy("stream_id").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    sums = line.select("stream_id", "bar_idx", *[F.sum(x).over(w).alias(n) for x, n in ((F.col("hist"), "t"), (F.greatest("hist", F.lit(0.0)), "p"), (F.least("hist", F.lit(0.0)), "m"))])
+    exact = F.col("hist").cast("decimal(38,12)")
+    nought = F.lit(0).cast("decimal(38,12)")
+    sums = line.select("stream_id", "bar_idx", *[F.sum(x).over(w).alias(n) for x, n in ((exact, "t"), (F.greatest(exact, nought), "p"), (F.least(exact, nought), "m"))])
     ends = line.groupBy("stream_id").agg(F.max("bar_idx").alias("__last"))
     r = ranges.join(ends, "stream_id", "left").withColumns({"__lo": F.greatest("lo", F.lit(0)), "__hi": F.least("hi", "__last")})
     at = lambda side, key: sums.select("stream_id", F.col("bar_idx").alias(key), *[F.col(c).alias(f"{side}{c}") for c in "tpm"])
     r = r.withColumn("__before", F.col("__lo") - 1).join(at("a", "__before"), ["stream_id", "__before"], "left").join(at("b", "__hi"), ["stream_id", "__hi"], "left")
     there = F.col("__lo") <= F.col("__hi")
-    area = lambda c: F.when(there, F.round(F.col(f"b{c}") - F.coalesce(F.col(f"a{c}"), F.lit(0.0)), 6)).otherwise(0.0)
+    area = lambda c: F.when(there, F.round((F.col(f"b{c}") - F.coalesce(F.col(f"a{c}"), nought)).cast("double"), 6)).otherwise(0.0)
     return r.select(
         "stream_id", *keys, "lo", "hi", area("t").alias("area_total"), area("p").alias("area_pos"), area("m").alias("area_neg"),
         F.when(there, F.col("__hi") - F.col("__lo") + 1).otherwise(0).cast("long").alias("n_bars"),
