@@ -101,14 +101,17 @@ def ratio(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     return both.select(F.lit(name).alias("stream_id"), "ts", *[F.try_divide(F.col(c), F.col(f"b_{c}")).alias(c) for c in PRICES], "volume")
 
 
-def pairs(bars: DataFrame) -> DataFrame:
-    """All pairs of streams a < b at common times: pair_id, a, b, ts, and both sides' columns (b's with ``b_``).
+def pairs(bars: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Pairs of streams at common times: pair_id, a, b, ts, and both sides' columns (b's with ``b_``).
 
-    The pair table is the square of the number of streams, never of bars; bars meet on (stream, ts).
+    ``wanted`` names the pairs (a, b). Without it they are all a < b, made from the list of
+    stream names: the square of the number of streams, never of bars. Bars meet on (stream, ts).
     """
-    names = bars.select(F.col("stream_id").alias("a")).distinct()
-    both = names.join(names.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
-    left = bars.withColumnRenamed("stream_id", "a").join(both, "a")
+    if wanted is None:
+        names = bars.select("stream_id").distinct().agg(F.array_sort(F.collect_list("stream_id")).alias("names"))
+        after = names.select("names", F.posexplode("names").alias("i", "a"))
+        wanted = after.select("a", F.explode(F.slice("names", F.col("i") + 2, F.greatest(F.size("names"), F.lit(1)))).alias("b"))
+    left = bars.withColumnRenamed("stream_id", "a").join(wanted.select("a", "b"), "a")
     right = bars.select(F.col("stream_id").alias("b"), "ts", *[F.col(c).alias(f"b_{c}") for c in bars.columns if c not in ("stream_id", "ts")])
     return left.join(right, ["b", "ts"]).withColumn("pair_id", F.concat_ws("/", "a", "b"))
 
@@ -117,12 +120,14 @@ def as_of(base: DataFrame, wide: DataFrame, tf: str, align: str = "start") -> Da
     """For each base bar the last bar of a wider timeframe that counts by then.
 
     ``align`` start: one that has started (it holds later prices too); close: one that has
-    ended. Adds its time and close as ``wide_ts`` and ``wide_close``; null before the first.
+    ended. Weeks, which are labelled by their Sunday, start six days before it and end a day
+    after. Adds its time and close as ``wide_ts`` and ``wide_close``; null before the first.
     """
     if align not in ("start", "close"):
         raise ValueError(f"unknown alignment {align!r}")
-    width = 7 * 86400 if tf == "1w" else WIDTHS[tf]
-    known = F.col("ts") if align == "start" else F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(width * 1_000_000)).cast("timestamp_ntz")
+    start, end = (-6 * 86400, 86400) if tf == "1w" else (0, WIDTHS[tf])
+    shift = start if align == "start" else end
+    known = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(shift * 1_000_000)).cast("timestamp_ntz")
     w = wide.select("stream_id", known.alias("ts"), F.lit(0).alias("__side"), F.struct(F.col("ts"), F.col("close")).alias("__w"))
     b = base.select("stream_id", "ts", F.lit(1).alias("__side"), F.lit(None).cast(w.schema["__w"].dataType).alias("__w"), F.struct("*").alias("__row"))
     both = w.withColumn("__row", F.lit(None).cast(b.schema["__row"].dataType)).unionByName(b)

@@ -50,10 +50,22 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_csv(spark: SparkSession, path: str, stream: str | None = None) -> DataFrame:
-    """Bars from CSV files with a header (ts or timestamp, open, high, low, close, volume); the stream is named or taken from the file's name up to its first underscore."""
-    rows = spark.read.schema(CSV_SCHEMA).csv(path, header=True, enforceSchema=True)
-    name = F.lit(stream) if stream else F.regexp_extract(F.input_file_name(), r"([^/_]+)_?[^/]*$", 1)
-    return rows.withColumn("stream_id", name).select("stream_id", *rows.columns)
+    """Bars from CSV files with a header; the stream is named or taken from the file's name up to its first underscore or its ending.
+
+    Columns go by their names, in any order and case: ts or timestamp, open, high, low, close
+    and volume (null if there is none); others are left out. Files of one read share a header:
+    one that differs raises, and so does a header without a price.
+    """
+    names = spark.read.csv(path, header=True, inferSchema=False).columns
+    rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, header=True, enforceSchema=False)
+    by_name = {n.strip().lower(): n for n in reversed(names)}
+    by_name.setdefault("ts", by_name.get("timestamp"))
+    wanted = [c.split() for c in CSV_SCHEMA.split(", ")]
+    if missing := [n for n, _ in wanted if n != "volume" and not by_name.get(n)]:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    columns = [(F.trim(F.col(f"`{by_name[n]}`")) if by_name.get(n) else F.lit(None)).cast(kind).alias(n) for n, kind in wanted]
+    name = F.lit(stream) if stream else F.regexp_extract(F.input_file_name(), r"([^/_]+?)(?:_[^/]*)?(?:\.csv(?:\.[a-z0-9]+)?)?$", 1)
+    return rows.select(name.alias("stream_id"), *columns)
 
 
 def write_csv(bars: DataFrame, path: str) -> None:
