@@ -34,6 +34,17 @@ def multi_tf_log(bars: DataFrame, tfs: list[str], settings: Settings = Settings(
     return out.withColumn("tag", F.when(F.col("level_id") > 1, F.concat(F.lit("L"), F.col("level_id").cast("string"))).otherwise(F.col("tf")))
 
 
+def by_level(log: DataFrame) -> DataFrame:
+    """Events as a bus of levels takes them: all under the tag L1, and those of level 2 and up once more under their own."""
+    above = log.where("level_id > 1").withColumn("tag", F.concat(F.lit("L"), F.col("level_id").cast("string")))
+    return log.withColumn("tag", F.lit("L1")).unionByName(above)
+
+
+def counts(tagged: DataFrame) -> DataFrame:
+    """How many events a bus holds, by stream and tag."""
+    return tagged.groupBy("stream_id", "tag").agg(F.count("*").alias("n"))
+
+
 def drained(log: DataFrame, after: int, upto: int, tag: str | None = None, stream: str | None = None) -> DataFrame:
     """Events of steps in (after, upto], of one tag or stream if given, in order."""
     out = log.where((F.col("step") > after) & (F.col("step") <= upto))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import sha256
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -196,6 +197,10 @@ def point_changes(before: Sequence[sg.Point], now: Sequence[sg.Point]) -> list[C
 SCHEMA = "layer string, bar_idx long, bar_ts double, seq long, event_type string, event_id string, level_id int, subject_id long, payload string"
 
 
+def _each(rows: pd.DataFrame) -> Iterator[tuple]:
+    return zip(*(rows[k].tolist() for k in ("ts_us", "open", "high", "low", "close")))
+
+
 class EventFold:
     """Bars of one stream in, events out. ``upper`` adds the layers above strokes."""
 
@@ -206,6 +211,7 @@ class EventFold:
         self.raw = 0
         self.seq: dict[str, int] = {}
         self.lists: dict[tuple, list] = {}
+        self.levels: list[int] = []
 
     def _said(self, engine: str, layer: str, bar_ts: float, changes: list[Change], level: int = 1) -> Iterator[tuple]:
         for kind, payload in changes:
@@ -229,29 +235,33 @@ class EventFold:
         points = sg.points(segments, centers, moves, sg.divergences(segments, centers, moves, 1), 1)
         yield from self._said("bsp", "bsp", ts, point_changes(self._next(("bsp",), points), points))
         reached = st.recursion(moves, s.max_levels)
+        self.levels = [level for level, *_ in reached]
         for level, _, own, made in reached:
             engine = f"level{level}"
             yield from self._said(engine, "zhongshu", ts, _center_changes(level).changes(self._next(("zhongshu", level), own), own), level)
             yield from self._said(engine, "move", ts, _move_changes(level).changes(self._next(("move", level), made), made), level)
 
     def push(self, rows: pd.DataFrame) -> Iterator[tuple]:
-        for ts_us, o, h, l, c in zip(*(rows[k].tolist() for k in ("ts_us", "open", "high", "low", "close"))):
-            self.fold.push(self.raw, ts_us, o, h, l, c)
-            keep, tail = self.fold.now()
-            common = max(0, min(self.keep, keep) - 1)
-            certain = self.fold.strokes
-            # strokes before ``common`` are certain in both and cannot have changed since
-            before = [*self.older[common - self.older_from : self.keep - self.older_from], *self.tail] if self.keep else list(self.tail)
-            now = [*certain[common:keep], *tail]
-            ts = ts_us / 1e6
-            changes = stroke_changes(before, now, common)
-            yield from self._said("stroke", "stroke", ts, changes)
-            if self.upper and (changes or before != now):
-                yield from self._above([*certain[:keep], *tail], ts)
-            self.keep, self.tail = keep, tail
-            self.older_from = max(0, keep - 3)
-            self.older = certain[self.older_from : keep]
-            self.raw += 1
+        for bar in _each(rows):
+            yield from self.bar(*bar)
+
+    def bar(self, ts_us: int, o: float, h: float, l: float, c: float) -> Iterator[tuple]:
+        self.fold.push(self.raw, ts_us, o, h, l, c)
+        keep, tail = self.fold.now()
+        common = max(0, min(self.keep, keep) - 1)
+        certain = self.fold.strokes
+        # strokes before ``common`` are certain in both and cannot have changed since
+        before = [*self.older[common - self.older_from : self.keep - self.older_from], *self.tail] if self.keep else list(self.tail)
+        now = [*certain[common:keep], *tail]
+        ts = ts_us / 1e6
+        changes = stroke_changes(before, now, common)
+        yield from self._said("stroke", "stroke", ts, changes)
+        if self.upper and (changes or before != now):
+            yield from self._above([*certain[:keep], *tail], ts)
+        self.keep, self.tail = keep, tail
+        self.older_from = max(0, keep - 3)
+        self.older = certain[self.older_from : keep]
+        self.raw += 1
 
     older_from, older = 0, ()
 
@@ -264,6 +274,54 @@ def event_log(bars: DataFrame, settings: Settings = Settings(), upper: bool = Tr
     return fold_streams(_bars(bars), lambda _: EventFold(settings, upper), SCHEMA, ["stream_id"], ["ts_us"])
 
 
+class LStarFold(EventFold):
+    """Bars of one stream in, the deciding level at every bar out."""
+
+    def push(self, rows: pd.DataFrame) -> Iterator[tuple]:
+        for bar in _each(rows):
+            for _ in self.bar(*bar):
+                pass
+            views = [(1, self.lists.get(("segment",), []), [sg.as_view(c) for c in self.lists.get(("zhongshu",), [])])]
+            below = self.lists.get(("move",), [])
+            for level in self.levels:
+                views.append((level, below, [sg.as_view(c) for c in self.lists["zhongshu", level]]))
+                below = self.lists["move", level]
+            found = sg.lstar(views, bar[-1])
+            yield self.raw - 1, bar[0] / 1e6, *((found.level, found.center_idx, found.regime) if found else (None, None, None))
+
+
+def lstar_by_bar(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(stream_id, bar_idx, bar_ts, level, center_idx, regime): the level that decides as seen at each bar; nulls while there is none."""
+    return fold_streams(_bars(bars), lambda _: LStarFold(settings, True), "bar_idx long, bar_ts double, level int, center_idx long, regime string", ["stream_id"], ["ts_us"])
+
+
+class Replay(NamedTuple):
+    """Where a replay of a log stands. ``current`` bars are done of ``total``; modes are idle, playing, paused and done."""
+
+    total: int
+    current: int = 0
+    mode: str = "idle"
+    speed: float = 1.0
+
+    def step(self, log: DataFrame, count: int = 1) -> tuple[DataFrame, Replay]:
+        """(events of the next ``count`` bars, the state after them); past the last bar there are none and the mode is done."""
+        upto = min(self.total, self.current + max(0, count))
+        events = log.where((F.col("bar_idx") >= self.current) & (F.col("bar_idx") < upto))
+        return events, self._replace(current=upto, mode="done" if upto >= self.total else self.mode)
+
+    def seek(self, log: DataFrame, target: int) -> tuple[DataFrame, Replay]:
+        """(all events up to bar ``target`` with it, the state there); targets are held within the bars."""
+        at = max(0, min(target, self.total - 1))
+        done = at + 1 >= self.total
+        return replayed(log, F.lit(at)), self._replace(current=min(at + 1, self.total), mode="done" if done else "paused" if self.mode == "done" else self.mode)
+
+    def play(self, speed: float | None = None) -> Replay:
+        return self._replace(mode="playing" if self.current < self.total else "done", speed=speed or self.speed)
+
+    def pause(self) -> Replay:
+        return self._replace(mode="paused") if self.mode == "playing" else self
+
+
 def replayed(log: DataFrame, upto: Column) -> DataFrame:
     """The log as it stood after bar ``upto`` (inclusive): seeking is filtering."""
     return log.where(F.col("bar_idx") <= upto)
@@ -275,9 +333,23 @@ def current(log: DataFrame) -> DataFrame:
     return log.withColumn("__n", F.row_number().over(latest)).where((F.col("__n") == 1) & ~F.col("event_type").rlike("invalidate")).drop("__n")
 
 
+#: Characters that JSON text escapes by a letter, as UTF-16 units.
+SHORT_ESCAPES = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
+
+
+def json_text(text: Column) -> Column:
+    """What stands between the quotes when ``text`` is written as ASCII JSON."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    short = F.create_map(*[F.lit(x) for pair in SHORT_ESCAPES.items() for x in pair])
+    plain = lambda u: (u >= "0020") & (u <= "007E")
+    return F.array_join(
+        F.transform(units, lambda u: F.coalesce(F.try_element_at(short, u), F.when(plain(u), F.decode(F.unhex(F.substring(u, 3, 2)), "US-ASCII")).otherwise(F.concat(F.lit("\\u"), F.lower(u))))), ""
+    )
+
+
 def enveloped(log: DataFrame) -> DataFrame:
     """Add ``subject`` (layer:level:id) and ``envelope_id`` (hash of event, stream and no parents), as SQL expressions."""
-    text = F.concat(F.lit('{"event_id": "'), "event_id", F.lit('", "parents": [], "stream_id": "'), "stream_id", F.lit('"}'))
+    text = F.concat(F.lit('{"event_id": "'), "event_id", F.lit('", "parents": [], "stream_id": "'), json_text(F.col("stream_id")), F.lit('"}'))
     return log.withColumns({"subject": F.concat_ws(":", "layer", F.col("level_id").cast("string"), F.col("subject_id").cast("string")), "envelope_id": F.substring(F.sha2(text, 256), 1, 16)})
 
 

@@ -70,8 +70,8 @@ def vertex_flows(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def resonance(states: DataFrame) -> DataFrame:
-    """Vertices whose edges agree by two or more."""
-    return states.where(F.col("strength") != "none")
+    """The state of every vertex with its strength: 3 of three edges is strong, 2 weak, less none. Adds ``resonates``, whether two or more agree."""
+    return states.withColumn("resonates", F.col("strength") != "none")
 
 
 def imbalance(states: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,6 +63,16 @@ def to_log(events: DataFrame, path: str, checkpoint: str, **trigger) -> Streamin
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def progress(query: StreamingQuery) -> dict:
+    """What a stream has done so far: bars and number of its recent micro-batches, and how long the last one took."""
+    known = [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else dict(p) for p in query.recentProgress]
+    last = known[-1] if known else {}
+    return {
+        "bars_processed": sum(int(p.get("numInputRows", 0)) for p in known), "batches": len(known),
+        "last_process_duration_ms": float(last.get("durationMs", {}).get("triggerExecution", 0.0)), "last_batch_at": last.get("timestamp"),
+    }
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All events written so far, without late bars."""
     return spark.read.parquet(path).drop("batch").where("layer <> 'late'")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from barloom import cli
 from barloom.functions import indicators
 from barloom.operators import bars as bar
-from barloom.operators import events, flows, routing
+from barloom.operators import bus, events, flows, routing
 from barloom.operators import invariants as inv
-from barloom.operators.layers import FIELDS, Settings, layer, layers, pick
-from barloom.sources import tables, vendor
+from barloom.operators.layers import FIELDS, Settings, layer, layers, pick, with_line
+from barloom.sources import feeds, tables, vendor
 from barloom.sources.fixtures import walk_bars
 from barloom.streaming import engine
 from tests import plain
@@ -53,6 +53,154 @@ def test_csv_round_trip(spark, tmp_path):
     assert rows(tables.read_csv(spark, str(tmp_path / "c"), "AAA")) == rows(b)
 
 
+def test_csv_goes_by_its_header(spark, tmp_path):
+    (tmp_path / "AAPL.csv").write_text("Timestamp,high,open,low,volume,close,note\n2024-01-01T00:00:00,4,2,1,7,3,x\n")
+    (tmp_path / "BRK.B_1min.csv").write_text("close,low,high,open,ts\n3,1,4,2,2024-01-01 00:05:00\n")
+    got = [tuple(tables.read_csv(spark, str(tmp_path / name)).first()) for name in ("AAPL.csv", "BRK.B_1min.csv")]
+    assert got == [("AAPL", T0, 2.0, 4.0, 1.0, 3.0, 7.0), ("BRK.B", T0 + dt.timedelta(minutes=5), 2.0, 4.0, 1.0, 3.0, None)]
+    (tmp_path / "bad.csv").write_text("ts,open,high,low\n2024-01-01,1,1,1\n")
+    with pytest.raises(ValueError, match="close"):
+        tables.read_csv(spark, str(tmp_path / "bad.csv"))
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "a.csv").write_text("ts,open,high,low,close\n2024-01-01,1,4,1,2\n")
+    (both / "b.csv").write_text("ts,high,open,low,close\n2024-01-01,4,1,1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_csv(spark, str(both)).collect()
+
+
+def test_requests():
+    assert [feeds.bar_size(x) for x in ("1s", "5s", "1min", "2min", "1hour", "8hour", "1month")] == ["1 secs", "5 secs", "1 min", "2 mins", "1 hour", "8 hours", "1 month"]
+    with pytest.raises(ValueError, match="7min"):
+        feeds.bar_size("7min")
+    assert feeds.contract("es")["exchange"] == "CME" and feeds.contract("es")["type"] == "CONTFUT" and feeds.contract("amd") == {"symbol": "AMD", "type": "STK", "exchange": "SMART", "currency": "USD", "multiplier": 1}
+    a, b = feeds.vendor_request("cl", "15min", today=dt.date(2024, 3, 1)), feeds.vendor_request("AMD", "1day", "2023-01-01", "2023-02-01")
+    assert (a["dataset"], a["vendor_symbol"], a["symbol_type"], a["schema"], a["end"]) == ("GLBX.MDP3", "CL.c.0", "continuous", "ohlcv-1m", "2024-02-29")
+    assert (b["dataset"], b["vendor_symbol"], b["symbol_type"], b["schema"], b["end"]) == ("XNAS.ITCH", "AMD", "raw_symbol", "ohlcv-1d", "2023-02-01")
+    assert len(feeds.BROKER_INTERVALS) == 21 and "CL" in feeds.supported_symbols()
+
+
+def test_fetched_bars(spark, tmp_path):
+    minutes = [["20240102 09:%02d:00" % i, i, i + 2, i - 1, i + 1, 0 if i == 3 else 10] for i in range(7)]
+    (tmp_path / "ES.json").write_text("\n".join(map(json.dumps, [*minutes, ["2024-01-02T09:06:00+00:00", 6, 9, 5, 8, 4], ["20240103", 1, 1, 1, 1]])))
+    got = feeds.broker_history(spark, ["es"], "barloom.sources.feeds.read_rows", duration=str(tmp_path)).orderBy("ts").collect()
+    assert len(got) == 8 and got[3].volume is None and got[6].close == 8.0 and got[7].ts == dt.datetime(2024, 1, 3) and got[0].stream_id == "ES"
+    (tmp_path / "ES.c.0.json").write_text((tmp_path / "ES.json").read_text())
+    five = feeds.vendor_history(spark, ["ES"], "barloom.sources.feeds.read_rows", "5min", str(tmp_path)).orderBy("ts").collect()
+    assert [(r.ts.minute, r.open, r.high, r.close, r.volume) for r in five[:2]] == [(0, 0.0, 6.0, 5.0, 40.0), (5, 5.0, 9.0, 8.0, 14.0)]
+    told = {r.symbol: r for r in feeds.cache_all(spark, ["ES", "NONE"], str(tmp_path / "cache"), "barloom.sources.feeds.read_rows", "1min", str(tmp_path)).collect()}
+    assert told["ES"].rows == 8 and told["ES"].error is None and told["NONE"].rows == 0 and told["NONE"].error and told["NONE"].cache_name == "NONE_1min_raw"
+    assert [r.symbol for r in tables.listing(spark, str(tmp_path / "cache")).collect()] == ["ES"]
+    assert tables.load_bars(spark, str(tmp_path / "cache"), "ES", "1min", "1m").count() == 8
+
+
+def test_live_buffer(spark):
+    live = make(spark, 30, ("AAA", "BBB"))
+    first, at = feeds.latest(live.where("ts < '2024-01-01 01:00:00'"), "aaa", 0, 20)
+    assert first.count() == at == 12
+    new, at = feeds.latest(live.where("ts < '2024-01-01 01:15:00'"), "aaa", at, 20)
+    assert (new.count(), at) == (3, 15) and new.first().time == "2024-01-01 01:00:00"
+    new, at = feeds.latest(live, "aaa", 15, 20)
+    assert (new.count(), at) == (5, 20) and feeds.latest(live, "none", 7)[1] == 7
+    table = spark.createDataFrame([("CL", "FUT", "NYMEX", "USD", "crude oil"), ("ES", "FUT", "CME", "USD", "index")], "symbol string, type string, exchange string, currency string, description string")
+    assert [r.symbol for r in feeds.matches(table, " CRUDE ").collect()] == ["CL"]
+
+
+def test_supplied_lines(spark):
+    b = make(spark, 1500, ("a", "b"))
+    line = indicators.macd(b)
+    own, given = (rows(layer(x, "divergences", Settings(macd=True))) for x in (b, with_line(b, line)))
+    assert own == given and own
+    some = rows(layer(with_line(b, line.where("bar_idx % 3 = 0")), "divergences", Settings(macd=True)))
+    assert some != own
+    assert with_line(b, line.where("stream_id = 'a'")).where("macd is null").count() == 1500
+    assert rows(layer(with_line(b, line), "line").select("stream_id", "idx", F.round("hist", 6).alias("h"))) == rows(line.select("stream_id", F.col("bar_idx").alias("idx"), F.round("hist", 6).alias("h")))
+
+
+def test_replay_steps(spark):
+    b = make(spark, 400, ("a",))
+    log = events.event_log(b).cache()
+    at, seen = events.Replay(400), []
+    while at.mode != "done":
+        some, at = at.step(log, 150)
+        seen += rows(some)
+    assert sorted(seen) == rows(log) and at == events.Replay(400, 400, "done")
+    there, back = at.seek(log, 99)
+    assert rows(there) == rows(log.where("bar_idx <= 99")) and back == events.Replay(400, 100, "paused")
+    assert back.play(2.0) == events.Replay(400, 100, "playing", 2.0) and back.play().pause().mode == "paused" and at.play().mode == "done"
+    assert at.seek(log, 9999)[1].mode == "done" and at.seek(log, -5)[1].current == 1 and at.step(log)[0].isEmpty()
+
+
+def test_json_lines():
+    import io
+    import logging
+
+    from barloom.functions.logs import event_logger
+
+    out = io.StringIO()
+    log = event_logger("barloom.test", logging.StreamHandler(out))
+    log.info("bar processed", bar_idx=42, tf="5m")
+    event_logger("barloom.test").warning("späte %s")
+    one, two = map(json.loads, out.getvalue().splitlines())
+    assert (one["msg"], one["bar_idx"], one["tf"], one["level"], one["logger"]) == ("bar processed", 42, "5m", "INFO", "barloom.test") and two["msg"] == "späte %s"
+
+
+def test_levels_on_the_bus(spark):
+    log = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y"), ("s", 3, "z"), ("s", 2, "w")], "stream_id string, level_id int, event_id string")
+    assert {r.tag: r.n for r in bus.counts(bus.by_level(log)).collect()} == {"L1": 4, "L2": 2, "L3": 1}
+
+
+def test_deciding_level_at_each_bar(spark):
+    b = make(spark, 2500, ("a", "b"))
+    per = events.lstar_by_bar(b).cache()
+    assert per.count() == 5000 and per.where("level is not null").count() > 0
+    last = {r.stream_id: (r.level, r.center_idx, r.regime) for r in per.where("bar_idx = 2499").collect()}
+    now = {r.stream_id: (r.level, r.center_idx, r.regime) for r in layer(b, "lstar").collect()}
+    assert {s: v for s, v in last.items() if v[0] is not None} == now
+
+
+def test_weeks_as_of(spark):
+    days = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(16)]
+    b = spark.createDataFrame([("a", t, c, c, c, c, 1.0) for t, c in days], "stream_id string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    weeks = bar.resample(b, "1w")
+    for align, want in (("start", [6.0] * 7 + [13.0] * 7 + [15.0] * 2), ("close", [None] * 7 + [6.0] * 7 + [13.0] * 2)):
+        assert [r.wide_close for r in bar.as_of(b, weeks, "1w", align).orderBy("ts").collect()] == want
+
+
+def test_envelopes_of_any_stream_name(spark):
+    names = ["plain", 'a"b', "back\\slash", "tab\tline\n\x01\x7f", "Ümläut 日本 🙂", ""]
+    log = spark.createDataFrame([("0123456789abcdef", n, "stroke", 1, 2) for n in names], "event_id string, stream_id string, layer string, level_id int, subject_id long")
+    assert {r.stream_id: r.envelope_id for r in events.enveloped(log).collect()} == {n: events.envelope_id("0123456789abcdef", n) for n in names}
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    from barloom import session
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+        sparkContext = type("Context", (), {"master": "spark://far:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Far())
+
+
+def test_the_rest_stands_without_corpus_operators(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "barloom.llm.queries", None)
+    monkeypatch.setitem(sys.modules, "barloom.llm", None)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    try:
+        bare = importlib.reload(entry)
+        assert "segments_v1" in bare.queries() and "segments_v1" in bare.oracle_sql() and not [q for q in bare.queries() if q.startswith("op") or q == "pipeline"]
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
+
+
 def test_catalog(spark, tmp_path):
     b = make(spark, streams=("ES",))
     for name in ("ES_1min_raw", "A_B_15min_raw", "CL_5min_raw", "junk"):
@@ -131,6 +279,7 @@ def test_streams_end_where_batches_do(spark, tmp_path):
         spark.read.parquet(str(tmp_path / f"in/{k}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "stage"))
         q = engine.to_log(engine.stream_events(one), str(tmp_path / "log"), str(tmp_path / "check"))
         q.awaitTermination(120)
+        assert engine.progress(q)["last_process_duration_ms"] > 0 and engine.progress(q)["batches"] >= 1
         assert q.exception() is None
     want = events.event_log(b)
     assert rows(engine.read_log(spark, str(tmp_path / "log")).select(want.columns)) == rows(want)
