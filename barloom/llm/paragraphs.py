@@ -22,9 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from barloom.llm.components import connected_components
 from barloom.session import checkpointed, forget, freed_shuffles, shared_folder, ship_package
@@ -39,6 +39,8 @@ BANDS, ROWS = 10, 4
 REACH = 8
 #: Words of a seed.
 GRAM = 10
+#: Bits of a paragraph's sketch.
+SKETCH = 512
 #: Ids of paragraphs up to which they are broadcast to fetch texts (8 bytes each).
 FEW = 1_000_000
 #: Bytes of text handled at once in a worker.
@@ -382,15 +384,47 @@ def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def shingles(text: str) -> set[tuple[str, ...]]:
-    words = text.split()
+def shingles(text: str) -> set[tuple[bytes, ...]]:
+    words = text.encode("utf-8", "surrogatepass").split()
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
-@F.pandas_udf(IntegerType())
-def _size(text: pd.Series) -> pd.Series:
-    """Number of different shingles."""
-    return pd.Series([len(shingles(t)) for t in text], dtype="int32")
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of different shingles of each paragraph, and parities of their hashes as SKETCH / 64 longs.
+
+    Shingles that only one of two paragraphs has are the only ones that can make bits differ:
+    the bits in which two sketches differ are never more than those shingles.
+    """
+    t = Tokens(texts)
+    bounds = np.searchsorted(t.doc, np.arange(len(texts) + 1))
+    m = max(0, len(t.word) - SHINGLE + 1)
+    shingle = _mixed(sum((t.word[j : m + j] * _C[j] for j in range(1, SHINGLE)), t.word[:m] * _C[0])) if m else np.zeros(0, np.uint64)
+    own = t.doc[:m] == t.doc[SHINGLE - 1 :] if m else np.zeros(0, bool)
+    owner, shingle = t.doc[:m][own], shingle[own]
+    # one of each: by a hash of paragraph and shingle
+    first = np.unique(_mixed(shingle + owner.astype(np.uint64) * _M), return_index=True)[1]
+    owner, shingle = owner[first], shingle[first]
+    n = np.bincount(owner, minlength=len(texts))
+    cell = owner * SKETCH + (shingle >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(texts) * SKETCH) & 1).astype(np.uint8).reshape(len(texts), SKETCH)
+    few = np.diff(bounds) < SHINGLE  # paragraphs shorter than a shingle are one shingle of all their words
+    n[few] = 1
+    return n, np.packbits(odd, axis=1).view(">i8").astype(np.int64)
+
+
+_SKETCH_COLUMNS = [f"s{i}" for i in range(8)]
+
+
+@F.pandas_udf(StructType([StructField("n", IntegerType()), *[StructField(c, LongType()) for c in _SKETCH_COLUMNS]]))
+def _sketched(text: pd.Series) -> pd.DataFrame:
+    n, bits = sketches(text.tolist())
+    return pd.DataFrame({"n": n.astype(np.int32)} | {c: bits[:, i] for i, c in enumerate(_SKETCH_COLUMNS)})
+
+
+def may_be_like(a: str, b: str) -> Column:
+    """Whether sketches ``a`` and ``b`` (structs) leave a Jaccard likeness of LIKE possible: (n + m - d) / (n + m + d) for d shingles apart."""
+    d = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _SKETCH_COLUMNS[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return d * (1 + LIKE) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (1 - LIKE) + 1e-6
 
 
 @F.pandas_udf(DoubleType())
@@ -444,35 +478,40 @@ def links(table: DataFrame, distinct: DataFrame, steps: Steps) -> DataFrame:
     First each member of a bucket is compared with the bucket's least. What that leaves
     apart is compared again, one member for each class found so far: with the least and the
     REACH before it in every bucket. These two rounds only make the third small: there every
-    two members of a bucket that are still in different components are compared, unless their
-    numbers of shingles alone keep them under LIKE. So components are those of all pairs that
-    meet in a bucket.
+    two members of a bucket that are still in different components are compared. So
+    components are those of all pairs that meet in a bucket. Pairs whose sketches put them
+    under LIKE for certain are never made; texts are fetched for the others only.
     """
     shared = steps.written(shared_buckets(distinct), "buckets")
     wanted = steps.written(shared.select("uid").distinct(), "wanted")
     texts = table.where("piece = -1").select("uid", "text").join(sized(wanted), "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
-    texts = steps.written(texts.withColumn("n", _size("text")), "texts")
+    texts = steps.written(texts.withColumn("s", _sketched("text")), "texts")
+    sketch = texts.select("uid", "s")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
+        """Edges among pairs (a, b, x, y) with the sketches of both."""
+        met = pairs.where(may_be_like("x", "y")).select("a", "b").distinct()
+        met = met.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
         return checkpointed(met.where(_jaccard("ta", "tb") >= LIKE).select("a", "b"))
 
-    one = verified(shared.where("first <> uid").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct())
+    def sketched(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sketch.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sketch.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
+
+    one = verified(sketched(shared.where("first <> uid").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct()))
     classes = connected_components(one).withColumnRenamed("node", "uid")
     named = shared.select("key", "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid"))
     ends = named.groupBy("key", "c").agg(F.min("uid").alias("uid"))
     order = Window.partitionBy("key").orderBy("uid")
     near = ends.select("uid", F.array(F.first("uid").over(order), *[F.lag("uid", k).over(order) for k in range(1, REACH + 1)]).alias("other"))
     left = near.where(F.get("other", F.lit(0)) != F.col("uid")).select("uid", F.explode(F.array_distinct("other")).alias("b")).where("b is not null")
-    two = verified(left.select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct())
+    two = verified(sketched(left.select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct()))
     classes = connected_components(one.union(two)).withColumnRenamed("node", "uid")
-    sizes = texts.select("uid", "n")
-    apart = shared.select("key", "uid").join(sizes, "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
+    apart = shared.select("key", "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
     mixed = apart.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    apart = steps.written(apart.join(mixed, "key"), "apart")
-    other = apart.select("key", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = apart.withColumnRenamed("uid", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.least("n", "m") / F.greatest("n", "m") >= LIKE))
-    three = verified(rest.select("a", "b").distinct())
+    apart = steps.written(apart.join(mixed, "key").join(sketch, "uid"), "apart")
+    other = apart.select("key", F.col("uid").alias("b"), F.col("s").alias("y"), F.col("c").alias("d"))
+    rest = apart.withColumnsRenamed({"uid": "a", "s": "x"}).join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & may_be_like("x", "y"))
+    three = verified(rest.select("a", "b", "x", "y"))
     steps.dropped("buckets", "wanted", "texts", "apart")
     return one.union(two).union(three)
 

@@ -190,3 +190,24 @@ def test_passages_are_those_of_brute_force(spark, thousand):
         seen += 1
         lost += all(left[d][a:b].any() for d, a, b in spans)
     assert seen > 100 and lost <= 0.02 * seen
+
+
+def test_sketches_never_put_apart_what_is_like():
+    rng = np.random.default_rng(2)
+    texts = ["", "x y", "a a a a a a a b", "nb sp one two three four five six"]
+    for i in range(40):
+        words = prose(int(rng.integers(5, 90)), i).split()
+        for _ in range(4):
+            other = list(words)
+            for _ in range(int(rng.integers(0, 4))):
+                other[rng.integers(len(other))] = "z" + str(rng.integers(99))
+            texts.append(" ".join(other))
+    n, bits = paragraphs.sketches(texts)
+    sets = [paragraphs.shingles(t) for t in texts]
+    assert n.tolist() == [len(s) for s in sets]
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64))
+            assert apart <= len(sets[i] ^ sets[j])
+            like = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert like < paragraphs.LIKE or apart * (1 + paragraphs.LIKE) <= (n[i] + n[j]) * (1 - paragraphs.LIKE) + 1e-6
