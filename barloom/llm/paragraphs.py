@@ -10,8 +10,8 @@ compared, whole where they are equal and run by run where they differ. Neighbour
 runs are joined.
 
 Equal paragraphs are one node from the start. Buckets of a band are compared in three rounds:
-its members are compared with its least, then the classes that this leaves apart by one
-member each, and at last all pairs that are not in one component by then.
+its members are compared with its least, then, where that leaves several components, with a
+few neighbours, and at last all pairs that are not in one component by then.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ LIKE = 0.8
 SHINGLE = 5
 #: 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.995 of pairs at likeness 0.8 meet, and nearly all above.
 BANDS, ROWS = 10, 4
-#: Classes before it in a bucket that a class is compared with in the second round.
+#: Members before it in a bucket that a member is compared with in the second round.
 REACH = 8
 #: Words of a seed.
 GRAM = 10
@@ -475,9 +475,9 @@ def shared_buckets(distinct: DataFrame) -> DataFrame:
 def links(table: DataFrame, distinct: DataFrame, steps: Steps) -> DataFrame:
     """Verified edges (a, b) between paragraph ids: exact Jaccard of LIKE or more.
 
-    First each member of a bucket is compared with the bucket's least. What that leaves
-    apart is compared again, one member for each class found so far: with the least and the
-    REACH before it in every bucket. These two rounds only make the third small: there every
+    First each member of a bucket is compared with the bucket's least. Then members of buckets
+    that still have several components are compared with those of the REACH before them that
+    are in others (ids are hashes, so neighbours are random). These two rounds only make the third small: there every
     two members of a bucket that are still in different components are compared. So
     components are those of all pairs that meet in a bucket. Pairs whose sketches put them
     under LIKE for certain are never made; texts are fetched for the others only.
@@ -498,21 +498,23 @@ def links(table: DataFrame, distinct: DataFrame, steps: Steps) -> DataFrame:
         return pairs.join(sketch.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sketch.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
 
     one = verified(sketched(shared.where("first <> uid").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct()))
-    classes = connected_components(one).withColumnRenamed("node", "uid")
-    named = shared.select("key", "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid"))
-    ends = named.groupBy("key", "c").agg(F.min("uid").alias("uid"))
+    def still_apart(links: DataFrame, name: str) -> DataFrame:
+        """Members (key, uid, c, s) of buckets that have more than one component ``c``."""
+        classes = connected_components(links).withColumnRenamed("node", "uid")
+        named = shared.select("key", "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
+        mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+        return steps.written(named.join(mixed, "key").join(sketch, "uid"), name)
+
     order = Window.partitionBy("key").orderBy("uid")
-    near = ends.select("uid", F.array(F.first("uid").over(order), *[F.lag("uid", k).over(order) for k in range(1, REACH + 1)]).alias("other"))
-    left = near.where(F.get("other", F.lit(0)) != F.col("uid")).select("uid", F.explode(F.array_distinct("other")).alias("b")).where("b is not null")
-    two = verified(sketched(left.select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b")).distinct()))
-    classes = connected_components(one.union(two)).withColumnRenamed("node", "uid")
-    apart = shared.select("key", "uid").join(classes, "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component")
-    mixed = apart.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    apart = steps.written(apart.join(mixed, "key").join(sketch, "uid"), "apart")
+    other = F.struct(F.col("uid").alias("b"), F.col("c").alias("d"), F.col("s").alias("y"))
+    near = still_apart(one, "apart").select(F.col("uid").alias("a"), "c", F.col("s").alias("x"), F.array(*[F.lag(other, k).over(order) for k in range(1, REACH + 1)]).alias("before"))
+    near = near.select("a", "x", F.explode(F.filter("before", lambda o: o["d"] != F.col("c"))).alias("o"))
+    two = verified(near.select("a", "o.b", "x", "o.y"))
+    apart = still_apart(one.union(two), "rest")
     other = apart.select("key", F.col("uid").alias("b"), F.col("s").alias("y"), F.col("c").alias("d"))
     rest = apart.withColumnsRenamed({"uid": "a", "s": "x"}).join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & may_be_like("x", "y"))
     three = verified(rest.select("a", "b", "x", "y"))
-    steps.dropped("buckets", "wanted", "texts", "apart")
+    steps.dropped("buckets", "wanted", "texts", "apart", "rest")
     return one.union(two).union(three)
 
 
