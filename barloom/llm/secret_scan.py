@@ -51,7 +51,7 @@ BASE = (
 # Kinds that the index makes cheap to add.
 MORE = (
     # to the END line, else over the lines of the body that follow; line ends may be escaped
-    Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:(?:\s*[A-Za-z-]{1,32}:[^\n]{0,200}\n)*(?:[A-Za-z0-9+/=\s\\]*-----END [A-Z ]{0,32}PRIVATE KEY-----|(?:[\s\\]*[A-Za-z0-9+/=]{40,})+(?:\s{1,4}[A-Za-z0-9+/=]+(?![^\n\r]))?))?"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:(?:\s*[A-Za-z-]{1,32}:[^\n]{0,200}\n)*(?:[A-Za-z0-9+/=\s\\]*-----END [A-Z ]{0,32}PRIVATE KEY-----|(?:[\s\\]*[A-Za-z0-9+/=]{40,})+(?:\s{1,4}[A-Za-z0-9+/=]+\r?(?m:$))?))?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
