@@ -61,10 +61,20 @@ def spread_bars(s: SparkSession, d: str) -> DataFrame:
     return bar.spread(b.where("stream_id = 'view'"), b.where("stream_id = 'click'"), "view-click").select(*BAR)
 
 
+def _scaled_round(c: str, digits: int) -> Column:
+    """Rounded as DuckDB rounds doubles: the scaled double to a whole number, halves away from 0, and back; zeros keep their sign.
+
+    ``F.round`` rounds the shortest decimal instead, which differs where the scaled double falls just off a half (41 / 5120).
+    """
+    scale = 10.0**digits
+    whole = F.round(F.col(c) * scale)
+    return F.when(whole == 0, F.col(c) * 0.0).otherwise(whole / scale)
+
+
 def ratio_bars(s: SparkSession, d: str) -> DataFrame:
     b = event_bars(s, d)
     out = bar.ratio(b.where("stream_id = 'view'"), b.where("stream_id = 'click'"), "view/click")
-    return out.select("stream_id", "ts", *[F.round(c, 9).alias(c) for c in bar.PRICES], "volume")
+    return out.select("stream_id", "ts", *[_scaled_round(c, 9).alias(c) for c in bar.PRICES], "volume")
 
 
 def ratio_cv(s: SparkSession, d: str) -> DataFrame:
