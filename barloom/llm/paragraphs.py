@@ -45,6 +45,8 @@ SKETCH = 512
 FEW = 1_000_000
 #: Bytes of text handled at once in a worker.
 BLOCK = 1_000_000
+#: Shingles handled at once for bands: they stay in a core's cache.
+GROUP = 8_192
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _RNG = np.random.default_rng(5)
@@ -61,16 +63,61 @@ SEEDED = pa.schema(
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(31))
+    x *= _M
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
+#: Powers for blocks of the usual size, made once a worker.
+_TABLES: list[np.ndarray] = []
 
 
 def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial of ``values`` with a 0 before it, and the factors that scale a difference to its start."""
     n = len(values)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), _M, np.uint64)]))[:n]
-    return np.concatenate([[np.uint64(0)], np.cumsum(values * power, dtype=np.uint64)]), np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE, np.uint64)]))
+    if n >= 2 * BLOCK:
+        power, back = _powers(_M, n + 1), _powers(_INVERSE, n + 1)
+    else:
+        if not _TABLES:
+            _TABLES.extend((_powers(_M, 2 * BLOCK), _powers(_INVERSE, 2 * BLOCK)))
+        power, back = _TABLES[0], _TABLES[1][: n + 1]
+    total = np.zeros(n + 1, np.uint64)
+    np.multiply(values, power[:n], out=total[1:])
+    np.cumsum(total, out=total)
+    return total, back
+
+
+def _weighted(word: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """At each place the hash of as many values as there are ``factors`` (fewer values: none)."""
+    m = max(0, len(word) - len(factors) + 1)
+    out = word[:m] * factors[0]
+    for j in range(1, len(factors)):
+        out += word[j : m + j] * factors[j]
+    return _mixed(out)
+
+
+def _over(choose: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """At each place what ``choose`` (minimum, maximum) takes of the ``width`` values from it."""
+    out, has = values, 1
+    while has < width:
+        step = min(has, width - has)
+        out, has = choose(out[:-step], out[step:]), has + step
+    return out
+
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The whole numbers of the ranges that start at ``first``, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Tokens:
@@ -86,12 +133,13 @@ class Tokens:
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         total, back = _sums(data.astype(np.uint64) + np.uint64(1))
         self.word = _mixed((total[self.end] - total[self.start]) * back[self.start])
-        self.line = np.cumsum(data == 10)[self.start] if len(self.start) else np.zeros(0, np.int64)
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        self.line = lines[self.start]
         self.place = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
         doc_start = np.concatenate([[0], doc_ends[:-1]])
         self.doc = np.searchsorted(doc_ends, self.start, "right")
         self.before = self.place[doc_start] - ((data[doc_start] & 0xC0) != 0x80) if len(data) else np.zeros(0, np.int64)
-        self.lines_before = np.concatenate([[0], np.cumsum(data == 10)])[doc_start]
+        self.lines_before = lines[doc_start]
         self.spoken, self.scale = _sums(self.word)
 
     def uid(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,10 +160,8 @@ class Tokens:
         n = len(self.word)
         if n < WORDS:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        m = n - GRAM + 1
-        gram = _mixed(sum((self.word[j : m + j] * _G[j] for j in range(1, GRAM)), self.word[:m] * _G[0]))
-        least = np.minimum.reduce([gram[j : n - WORDS + 1 + j] for j in range(WORDS - GRAM + 1)])
-        return gram, least, self.doc[: n - WORDS + 1] == self.doc[WORDS - 1 :]
+        gram = _weighted(self.word, _G)
+        return gram, _over(np.minimum, gram, WORDS - GRAM + 1), self.doc[: n - WORDS + 1] == self.doc[WORDS - 1 :]
 
 
 def units(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
@@ -149,10 +195,8 @@ def _seed_rows(ids: list[int | None], t: Tokens) -> pa.RecordBatch:
     Equal runs of WORDS words have equal seeds, so a run that repeats has only seeds that repeat.
     """
     gram, least, whole = t.least_grams()
-    most = np.zeros(len(gram), np.uint64)
-    least = np.where(whole, least, np.uint64(0))
-    for j in range(WORDS - GRAM + 1 if len(least) else 0):
-        most[j : j + len(least)] = np.maximum(most[j : j + len(least)], least)
+    beyond = np.zeros(WORDS - GRAM if len(least) else 0, np.uint64)
+    most = _over(np.maximum, np.concatenate([beyond, np.where(whole, least, np.uint64(0)), beyond]), WORDS - GRAM + 1)
     at = np.flatnonzero((gram == most) & (most > 0))
     nulls = [pa.nulls(len(at), UNITS.field(k).type) for k in range(len(UNITS))]
     nulls[0] = pa.array([ids[i] for i in t.doc[at].tolist()], pa.int64())
@@ -162,27 +206,31 @@ def _seed_rows(ids: list[int | None], t: Tokens) -> pa.RecordBatch:
 
 
 def _bands(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Band keys of the paragraphs that start at ``first`` and have ``count`` words."""
+    """Band keys of the paragraphs that start at ``first`` and have ``count`` words.
+
+    Hashes of shingles are mixed already: an odd factor for each of the BANDS * ROWS orders is enough.
+    """
     out = np.empty((len(first), BANDS), np.int64)
     if not len(first):
         return out
-    shingle = sum((word[j : len(word) - SHINGLE + 1 + j] * _C[j] for j in range(1, SHINGLE)), word[: len(word) - SHINGLE + 1] * _C[0])
-    shingle = _mixed(shingle)
-    sizes = count - SHINGLE + 1
-    at, group = 0, max(1, 60_000 // max(1, int(sizes.max())))
+    shingle, sizes = _weighted(word, _C), count - SHINGLE + 1
+    ends = np.cumsum(sizes)
+    least = np.empty((BANDS * ROWS, len(first)), np.uint64)
+    at = 0
     while at < len(first):
-        to = min(len(first), at + group)
-        n = sizes[at:to]
-        offsets = np.concatenate([[0], np.cumsum(n)[:-1]])
-        index = np.repeat(first[at:to] - offsets, n) + np.arange(n.sum())
-        chosen = shingle[index]
-        least = np.stack([np.minimum.reduceat(_mixed(chosen * a), offsets) for a in _A])
-        for k in range(BANDS):
-            key = np.full(to - at, k, np.uint64)
-            for r in range(ROWS):
-                key = _mixed(key * _M + least[k * ROWS + r])
-            out[at:to, k] = key.view(np.int64)
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + GROUP, "right")))
+        chosen, offsets = shingle[_spread(first[at:to], sizes[at:to])], ends[at:to] - sizes[at:to] - done
+        scaled = np.empty_like(chosen)
+        for i, factor in enumerate(_A):
+            np.multiply(chosen, factor, out=scaled)
+            np.minimum.reduceat(scaled, offsets, out=least[i, at:to])
         at = to
+    for k in range(BANDS):
+        key = np.full(len(first), k, np.uint64)
+        for r in range(ROWS):
+            key = _mixed(key * _M + least[k * ROWS + r])
+        out[:, k] = key.view(np.int64)
     return out
 
 
@@ -207,6 +255,23 @@ def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _seed_rows(ids, t)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Elements of all lists (a null list has none), and the row that each is of."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def _numbers(rows: pa.StructArray, name: str) -> np.ndarray:
+    """A field that is never null; whole numbers as 64 bits."""
+    values = rows.field(name)
+    return values.to_numpy(zero_copy_only=False).astype(bool if pa.types.is_boolean(values.type) else np.int64, copy=False)
+
+
+def _ids(rows: pa.StructArray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A field of ids that may be null: numbers (null: 0), and which are null."""
+    values = rows.field(name)
+    return values.fill_null(0).to_numpy(zero_copy_only=False), values.is_null().to_numpy(zero_copy_only=False)
+
+
 class Marks:
     """Which words of a block of documents stand in repeated paragraphs (start, words, uid, kept, least), one list a document."""
 
@@ -215,20 +280,17 @@ class Marks:
         self.covered, self.dropped, self.stays = (np.zeros(n, bool) for _ in range(3))
         #: End of the paragraph a word is in, if that repeats an earlier one word for word.
         self.copy_end = np.zeros(n, np.int64)
-        for k, own in enumerate(paragraphs.to_pylist()):
-            lo, hi = int(bounds[k]), int(bounds[k + 1])
-            starts = t.place[t.start[lo:hi]] - 1 - t.before[k] if own else None
-            for p in own or ():
-                a = lo + int(np.searchsorted(starts, p["start"]))
-                b = a + p["words"]
-                # rows that repeat a doc_id may have another text: the paragraph must be in this one
-                if b > hi or t.uid(np.array([a]), np.array([b]))[0] != p["uid"]:
-                    continue
-                self.covered[a:b] = True
-                self.dropped[a:b] |= not p["kept"]
-                self.stays[a:b] |= p["kept"]
-                if not p["least"]:
-                    self.copy_end[a:b] = b
+        of, own = _flat(paragraphs)
+        start, words, uid, kept, least = (_numbers(own, c) for c in ("start", "words", "uid", "kept", "least"))
+        a = np.clip(np.searchsorted(t.place[t.start] - 1, start + t.before[of]), bounds[of], bounds[of + 1])
+        # rows that repeat a doc_id may have another text: the paragraph must be in this one
+        held = np.flatnonzero(a + words <= bounds[of + 1])
+        held = held[t.uid(a[held], a[held] + words[held]) == uid[held]]
+        a, words, kept, least = (x[held] for x in (a, words, kept, least))
+        at = _spread(a, words)
+        kept, copied = np.repeat(kept, words), ~np.repeat(least, words)
+        self.covered[at], self.dropped[at[~kept]], self.stays[at[kept]] = True, True, True
+        self.copy_end[at[copied]] = np.repeat(a + words, words)[copied]
 
     def bare_before(self) -> np.ndarray:
         """Words before each that no repeated paragraph has."""
@@ -250,11 +312,10 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         bounds = np.searchsorted(t.doc, np.arange(len(ids) + 1))
         marks = Marks(t, bounds, batch.column(4))
-        wanted = np.zeros(len(least), bool)
-        for k, seeds in enumerate(batch.column(3)):
-            lo, hi = int(bounds[k]), min(int(bounds[k + 1]), len(least))
-            if hi > lo:
-                wanted[lo:hi] = np.isin(least[lo:hi].view(np.int64), np.asarray(seeds.values.to_numpy(zero_copy_only=False)))
+        # a seed that repeats is listed by each document that has it, so all lists of a block can be one
+        seeds = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        wanted = np.repeat(np.isin(least[turns].view(np.int64), seeds), np.diff(np.append(turns, len(least))))
         wanted &= whole
         before = np.concatenate([[False], wanted[:-1] & (least[1:] == least[:-1]) & (t.doc[: len(least)][1:] == t.doc[: len(least)][:-1])])
         first = np.flatnonzero(wanted & ~before)
@@ -267,8 +328,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         first, size = first[keep], size[keep]
         end = first + size + WORDS - 1
         bare, goes = marks.bare_before(), np.concatenate([[0], np.cumsum(marks.dropped)])
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])
+        offsets, at = np.concatenate([[0], np.cumsum(size)]), _spread(first, size)
         keys = batch.column(2).to_numpy(zero_copy_only=False)
         of = t.doc[first]
         yield pa.RecordBatch.from_arrays(
@@ -287,76 +347,76 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def _unfrayed(found: list[dict]) -> list[dict]:
-    """Repeated windows in order, without those at either end of a row of neighbours that only lead by under SHINGLE words
-    to one that more places share: a word or two next to a passage that agree in some of its documents are not part of it."""
-    out, at = [], 0
-    while at < len(found):
-        to = at + 1
-        while to < len(found) and found[to]["at"] - found[to - 1]["at"] <= 1:
-            to += 1
-        a, b = at, to
-        edge = [w["n"] for w in found[a : min(b, a + SHINGLE)]]
-        a += edge.index(max(edge))
-        edge = [w["n"] for w in found[max(a, b - SHINGLE) : b][::-1]]
-        b -= edge.index(max(edge))
-        out += found[a:b]
-        at = to
-    return out
+class Windows:
+    """Repeated windows of a block of documents, in order: their first words ``at``, where reported words begin and end
+    (``lead`` words from a window's start and ``tail`` before its end are of paragraphs that stay), number of places, keeper (and whether that is null), kept.
 
-
-def _runs(found: list[dict]) -> list[tuple[int, int, int | None, bool]]:
-    """Word ranges (from, to, keeper's doc_id, kept) of a document's repeated windows (at, lead, tail, n, keeper, kept).
-
-    Neighbouring windows are joined as long as their keepers stand in one document. Where
-    ranges overlap the kept one has the words, and so have paragraphs that stay (``lead`` words
-    from a window's start, ``tail`` before its end): what goes never takes a keeper's words.
-    """
-    runs: list[list] = []
-    for w in _unfrayed(sorted(found, key=lambda w: w["at"])):
-        key, to = [w["keeper"], w["kept"]], w["at"] + WORDS
-        cut = 0 if w["kept"] else w["tail"]
-        if runs and runs[-1][5] in (to, to - 1) and runs[-1][2:4] == key:
-            runs[-1][1], runs[-1][5] = to - cut, to
-        else:
-            runs.append([w["at"] + (0 if w["kept"] else w["lead"]), to - cut, *key, w["at"], to])
-    stay = 0
-    for run in runs:
-        if run[3]:
-            stay = run[1]
-        else:
-            run[0] = max(run[0], stay)
-    stay = None
-    for run in reversed(runs):
-        if run[3]:
-            stay = run[0]
-        elif stay is not None:
-            run[1] = min(run[1], stay)
-    return [tuple(run[:4]) for run in runs if run[0] < run[1]]
-
-
-def _repeated_windows(blocks: list[dict], marks: Marks, lo: int, hi: int) -> list[dict]:
-    """Repeated windows of a document (words [lo, hi) of ``marks``), from its blocks (at, size, t, found).
-
-    ``found`` has the windows ``k`` of a block, or -1 for all, with their number of places and
-    their keeper's. Those inside repeated paragraphs are left to the paragraphs' rows, but for a
-    keeper in a paragraph that goes.
+    From the documents' blocks (at, size, t, found). ``found`` has the windows ``k`` of a block, or -1 for all, with their number of
+    places and their keeper's. Those inside repeated paragraphs are left to the paragraphs' rows,
+    but for a keeper in a paragraph that goes.
     """
-    covered, stays = marks.covered[lo:hi], marks.stays[lo:hi]
-    bare, gone = np.concatenate([[0], np.cumsum(~covered)]), np.concatenate([[0], np.cumsum(marks.dropped[lo:hi])])
-    place = np.arange(hi - lo)
-    after = np.minimum.accumulate(np.where(stays, hi - lo, place)[::-1])[::-1]
-    ahead = np.maximum.accumulate(np.where(stays, -1, place))
-    out = []
-    for b in blocks:
-        for f in b["found"]:
-            for k in range(b["size"]) if f["k"] < 0 else (f["k"],):
-                at, last = b["at"] + k, b["at"] + k + WORDS - 1
-                kept = f["keeper_t"] == b["t"] and f["keeper"] == b["doc_id"] and f["keeper_at"] + (k if f["k"] < 0 else 0) == at
-                if bare[at + WORDS] == bare[at] and not (kept and gone[at + WORDS] > gone[at]):
-                    continue
-                out.append({"at": at, "lead": min(int(after[at]) - at, WORDS), "tail": min(last - int(ahead[last]), WORDS), "n": f["n"], "keeper": f["keeper"], "kept": kept})
-    return out
+
+    def __init__(self, blocks: pa.Array, marks: Marks, bounds: np.ndarray) -> None:
+        doc, rows = _flat(blocks)
+        of, found = _flat(rows.field("found"))
+        own = [_numbers(rows, c)[of] for c in ("at", "size", "t")] + [x[of] for x in _ids(rows, "doc_id")]
+        k, n, keeper_t, keeper_at = (_numbers(found, c) for c in ("k", "n", "keeper_t", "keeper_at"))
+        keeper, nobody = _ids(found, "keeper")
+        # one row a window: -1 stands for as many as the block has
+        every = k < 0
+        row = np.repeat(np.arange(len(k)), np.where(every, own[1], 1))
+        k = _spread(np.where(every, 0, k), np.where(every, own[1], 1))
+        at = own[0][row] + k
+        kept = (keeper_t == own[2]) & (keeper == own[3]) & (nobody == own[4])
+        kept = kept[row] & (keeper_at[row] + np.where(every[row], k, 0) == at)
+        at = at + bounds[doc[of[row]]]
+        bare, gone = marks.bare_before(), np.concatenate([[0], np.cumsum(marks.dropped)])
+        told = np.flatnonzero((bare[at + WORDS] > bare[at]) | (kept & (gone[at + WORDS] > gone[at])))
+        told = told[np.argsort(at[told], kind="stable")]
+        at, row, self.kept = at[told], row[told], kept[told]
+        self.at, self.n, self.keeper, self.nobody = at, n[row], keeper[row], nobody[row]
+        # words of paragraphs that stay at either end; a document's end is farther than WORDS
+        place, last = np.arange(len(marks.stays)), at + WORDS - 1
+        after = np.minimum.accumulate(np.where(marks.stays, len(place), place)[::-1])[::-1]
+        ahead = np.maximum.accumulate(np.where(marks.stays, -WORDS, place))
+        self.lead, self.tail = np.minimum(after[at] - at, WORDS), np.minimum(last - ahead[last], WORDS)
+
+    def unfrayed(self) -> np.ndarray:
+        """Windows without those at either end of a row of neighbours that only lead by under SHINGLE words
+        to one that more places share: a word or two next to a passage that agree in some of its documents are not part of it."""
+        if not len(self.at):
+            return np.zeros(0, np.int64)
+        a = np.flatnonzero(np.concatenate([[True], np.diff(self.at) > 1]))
+        b = np.append(a[1:], len(self.at))
+        step = np.arange(SHINGLE)
+        edge = a[:, None] + step
+        a = a + np.where(edge < b[:, None], self.n[np.minimum(edge, len(self.n) - 1)], -1).argmax(1)
+        edge = b[:, None] - 1 - step
+        b = b - np.where(edge >= a[:, None], self.n[np.maximum(edge, 0)], -1).argmax(1)
+        return _spread(a, b - a)
+
+    def runs(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word ranges [from, to) of neighbouring windows, their keeper's doc_id, whether that is null, and kept; ``doc`` has each word's document.
+
+        Neighbouring windows are joined as long as their keepers stand in one document. Where
+        ranges overlap the kept one has the words, and so have paragraphs that stay: what goes never takes a keeper's words.
+        """
+        w = self.unfrayed()
+        at, keeper, nobody, kept = (x[w] for x in (self.at, self.keeper, self.nobody, self.kept))
+        breaks = (np.diff(at) > 1) | (np.diff(keeper) != 0) | (nobody[1:] != nobody[:-1]) | (kept[1:] != kept[:-1])
+        first = np.flatnonzero(np.concatenate([[True], breaks])) if len(at) else w
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        keeper, nobody, kept = keeper[first], nobody[first], kept[first]
+        a = at[first] + np.where(kept, 0, self.lead[w][first])
+        b = at[last] + WORDS - np.where(kept, 0, self.tail[w][last])
+        of, number = doc[at[first]], np.arange(len(first))
+        before = np.maximum.accumulate(np.where(kept, number, -1))
+        a = np.where(~kept & (before >= 0) & (of[before] == of), np.maximum(a, b[before]), a) if len(a) else a
+        behind = np.minimum.accumulate(np.where(kept, number, len(number))[::-1])[::-1]
+        near = np.minimum(behind, len(number) - 1)
+        b = np.where(~kept & (behind < len(number)) & (of[near] == of), np.minimum(b, a[near]), b) if len(b) else b
+        left = np.flatnonzero(a < b)
+        return a[left], b[left], keeper[left], nobody[left], kept[left]
 
 
 def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,20 +425,17 @@ def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         t = Tokens(texts)
         bounds = np.searchsorted(t.doc, np.arange(len(ids) + 1))
         marks = Marks(t, bounds, batch.column(3))
-        found = [_repeated_windows(blocks, marks, int(bounds[k]), int(bounds[k + 1])) for k, blocks in enumerate(batch.column(2).to_pylist())]
-        spans = [(k, *run) for k, windows in enumerate(found) for run in _runs(windows)]
-        if not spans:
+        a, b, keeper, nobody, kept = Windows(batch.column(2), marks, bounds).runs(t.doc)
+        if not len(a):
             continue
-        of, a, b = (np.array([x[j] for x in spans], np.int64) for j in range(3))
-        a, b = a + bounds[of], b + bounds[of]
         start, end = t.span(a, b)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([ids[k] for k in of.tolist()], pa.int64()),
+                pa.array([ids[k] for k in t.doc[a].tolist()], pa.int64()),
                 pa.array(t.line_in(a).astype(np.int32)),
                 *[pa.array(c) for c in (start, end, b - a)],
-                pa.array([x[3] for x in spans], pa.int64()),
-                pa.array([x[4] for x in spans], pa.bool_()),
+                pa.array(keeper, pa.int64(), mask=nobody),
+                pa.array(kept, pa.bool_()),
             ],
             names=["doc_id", "line", "start", "end", "n_words", "component_id", "kept"],
         )
@@ -397,8 +454,8 @@ def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     t = Tokens(texts)
     bounds = np.searchsorted(t.doc, np.arange(len(texts) + 1))
-    m = max(0, len(t.word) - SHINGLE + 1)
-    shingle = _mixed(sum((t.word[j : m + j] * _C[j] for j in range(1, SHINGLE)), t.word[:m] * _C[0])) if m else np.zeros(0, np.uint64)
+    shingle = _weighted(t.word, _C)
+    m = len(shingle)
     own = t.doc[:m] == t.doc[SHINGLE - 1 :] if m else np.zeros(0, bool)
     owner, shingle = t.doc[:m][own], shingle[own]
     # one of each: by a hash of paragraph and shingle
